@@ -77,10 +77,21 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_OF_TWO), F.lit(1))
 
 
-def raw_char_ngrams(text: Column, n: int) -> Column:
-    """All character n-grams of the text as it is; none for shorter texts."""
-    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - F.lit(n - 1)))
-    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: text.substr(i, F.lit(n)))
+def characters(text: Column) -> Column:
+    """The characters of a text as an array."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+
+def _ngrams(parts: Column, n: int, joined: Callable[[list[Column]], Column]) -> Column:
+    """Runs of ``n`` neighbours of an array; each takes constant time, wherever it lies."""
+    starts = F.when(F.size(parts) >= n, F.sequence(F.lit(0), F.size(parts) - F.lit(n)))
+    starts = F.coalesce(starts, F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: joined([F.get(parts, i + k) for k in range(n)]))
+
+
+def char_ngrams(chars: Column, n: int) -> Column:
+    """All n-grams of a character array; none for shorter texts."""
+    return _ngrams(chars, n, lambda parts: F.concat(*parts))
 
 
 def folded_text(text: Column) -> Column:
@@ -90,11 +101,7 @@ def folded_text(text: Column) -> Column:
 
 def word_ngrams(tokens: Column, n: int) -> Column:
     """Space-joined n-grams of a token array."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - F.lit(n - 1)))
-    return F.transform(
-        F.coalesce(starts, F.array().cast("array<int>")),
-        lambda i: F.concat_ws(" ", F.slice(tokens, i, F.lit(n))),
-    )
+    return _ngrams(tokens, n, lambda parts: F.concat_ws(" ", *parts))
 
 
 def restore_case(stem: Column, token: Column) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textpulse.functions import text as tx
 from textpulse.functions.stemmer import porter_stem
+from textpulse.functions.stop_words import ENGLISH
 
 
 def check_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -92,9 +92,8 @@ def stemmed(token_rows: DataFrame, mode: str = "porter_case") -> DataFrame:
 
 
 def english_stop_words(spark: SparkSession) -> DataFrame:
-    """Spark's English stop-word list as a one-column table."""
-    words = StopWordsRemover.loadDefaultStopWords("english")
-    return spark.createDataFrame([(w,) for w in words], "token string")
+    """The English stop-word list as a one-column table."""
+    return spark.createDataFrame([(w,) for w in ENGLISH], "token string")
 
 
 def without_stop_words(token_rows: DataFrame, stop_words: DataFrame) -> DataFrame:
@@ -102,33 +101,29 @@ def without_stop_words(token_rows: DataFrame, stop_words: DataFrame) -> DataFram
     return token_rows.join(F.broadcast(stop_words), "token", "left_anti")
 
 
-def _ngram_rows(docs: DataFrame, keep: list[str], grams_of, sizes: tuple[int, int]) -> DataFrame:
-    lo, hi = sizes
-    per_size = F.array(
-        *[F.struct(F.lit(n).alias("n"), grams_of(n).alias("grams")) for n in range(lo, hi + 1)]
-    )
-    sized = docs.select(*keep, F.inline(per_size))
-    return sized.select(*keep, "n", F.explode("grams").alias("gram"))
+def _ngram_rows(docs: DataFrame, keep: list[str], parts: Column, grams_of, sizes: tuple[int, int]) -> DataFrame:
+    split = docs.select(*keep, parts.alias("_parts"))
+    per_size = F.array(*[
+        F.struct(F.lit(n).alias("n"), grams_of(F.col("_parts"), n).alias("grams")) for n in range(sizes[0], sizes[1] + 1)
+    ])
+    sized = split.select(*keep, F.inline_outer(per_size))
+    return sized.select(*keep, "n", F.explode_outer("grams").alias("gram")).filter("gram is not null")
 
 
 def char_ngrams(docs: DataFrame, sizes: tuple[int, int] = (1, 5), keep: list[str] | None = None) -> DataFrame:
     """Character n-grams of the lower-cased, space-collapsed text."""
-    keep = keep or ["doc_id"]
-    folded = docs.select(*keep, tx.folded_text(F.col("text")).alias("_text"))
-    return _ngram_rows(folded, keep, lambda n: tx.raw_char_ngrams(F.col("_text"), n), sizes)
+    chars = tx.characters(tx.folded_text(F.col("text")))
+    return _ngram_rows(docs, keep or ["doc_id"], chars, tx.char_ngrams, sizes)
 
 
 def raw_char_ngrams(docs: DataFrame, sizes: tuple[int, int] = (1, 3), keep: list[str] | None = None) -> DataFrame:
     """Character n-grams of the text as written."""
-    keep = keep or ["doc_id"]
-    return _ngram_rows(docs, keep, lambda n: tx.raw_char_ngrams(F.col("text"), n), sizes)
+    return _ngram_rows(docs, keep or ["doc_id"], tx.characters(F.col("text")), tx.char_ngrams, sizes)
 
 
 def word_ngrams(docs: DataFrame, sizes: tuple[int, int] = (1, 3), keep: list[str] | None = None) -> DataFrame:
     """Word n-grams over the default word analyser."""
-    keep = keep or ["doc_id"]
-    worded = docs.select(*keep, tx.words(F.col("text")).alias("_words"))
-    return _ngram_rows(worded, keep, lambda n: tx.word_ngrams(F.col("_words"), n), sizes)
+    return _ngram_rows(docs, keep or ["doc_id"], tx.words(F.col("text")), tx.word_ngrams, sizes)
 
 
 def count_by(token_rows: DataFrame, *keys: str | Column, name: str = "n") -> DataFrame:
