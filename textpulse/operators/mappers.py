@@ -55,9 +55,12 @@ def one_task_per_text(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Shuffle whole texts by document, so that all later steps per document stay local.
 
     Moving a text once is cheaper than moving its exploded tokens, and a
-    document is one input row, which bounds the size of its group.
+    document is one input row, which bounds the size of its group. The number of
+    partitions follows the input splits (the series is several times larger
+    than its text) and is given, as AQE would merge by the size of the texts.
     """
-    return docs.repartition(keep[0])
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(max(cores, 2 * docs.rdd.getNumPartitions()), keep[0])
 
 
 class TokenLengthSequence(CorpusIndependentMapper):

@@ -28,8 +28,12 @@ def register(name: str, sql: str | None = None):
 
 
 def r6(x: Column | str) -> Column:
-    """Six decimals, without negative zero."""
-    return F.round(F.col(x) if isinstance(x, str) else x, 6) + F.lit(0.0)
+    """Six decimals, without negative zero.
+
+    The tiny shift keeps exact ties (k + 0.5 in the sixth decimal), which short
+    fractions often hit, away from the rounding border in both engines.
+    """
+    return F.round((F.col(x) if isinstance(x, str) else x) + F.lit(1.7e-10), 6) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -37,7 +41,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def sql_r6(x: str) -> str:
-    return f"(round({x}, 6) + 0.0)"
+    return f"(round({x} + 1.7e-10, 6) + 0.0)"
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
