@@ -33,8 +33,13 @@ class SeriesMapper(ABC):
         return {}
 
     def restore(self, data: dict[str, DataFrame]) -> SeriesMapper:
+        """Take fitted tables read from a store."""
         return self
 
+    def fold_series(self, docs: DataFrame, folds: DataFrame, k: int) -> DataFrame:
+        """(fold, doc_id, method, t, value) of all documents, fitted on each fold's training side."""
+        raise NotImplementedError(f"{self.name} does not depend on the training texts")
+
     def _series(self, rows: DataFrame, keep: list[str], t: Column, value: Column) -> DataFrame:
         return rows.select(
             *keep, F.lit(self.name).alias("method"), t.cast("int").alias("t"), value.cast("double").alias("value")
@@ -133,6 +138,29 @@ class _VocabularyMapper(CorpusDependentMapper):
         return self._series(found, keep, F.coalesce("pos", F.lit(0)), value)
 
 
+    def _fold_values(self, vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(fold, token, v) and (fold, v) for unseen tokens, from the training vocabularies."""
+        raise NotImplementedError
+
+    def fold_series(self, docs, folds, k):
+        rows = tk.tokens_or_mark(docs, self.tokenizer)
+        stems = tk.stem_of(rows.filter("pos is not null").select("token").distinct(), self.stem_mode)
+        placed = docs.join(folds.select("doc_id", "fold"), "doc_id")
+        counted = vc.vocabulary(tk.tokens(placed, self.tokenizer, ["doc_id", "fold"]), self.stem_mode, ("fold",))
+        values, unseen = self._fold_values(checkpointed(vc.training_vocabularies(counted, k)))
+        # One row per token with its value in every fold: the join carries each token once.
+        listed = values.groupBy(F.col("token").alias("stem")).agg(
+            F.map_from_entries(F.collect_list(F.struct("fold", "v"))).alias("vs")
+        )
+        known = stems.join(listed, "stem").select("token", "vs")
+        default = unseen.agg(F.map_from_entries(F.collect_list(F.struct("fold", "v")))).scalar()
+        found = rows.join(known, "token", "left").withColumn("ds", default)
+        spread = found.select("*", F.explode(F.array(*[F.lit(f) for f in range(k)])).alias("fold"))
+        v = F.coalesce(F.try_element_at("vs", F.col("fold")), F.try_element_at("ds", F.col("fold")))
+        value = F.when(F.col("pos").isNull(), F.lit(0.0)).otherwise(F.log1p(v))
+        return self._series(spread, ["fold", "doc_id"], F.coalesce("pos", F.lit(0)), value)
+
+
 class TokenFrequencySequence(_VocabularyMapper):
     """ln(1 + corpus count) of every stem; unseen stems give 0."""
 
@@ -148,6 +176,10 @@ class TokenFrequencySequence(_VocabularyMapper):
     def _values(self):
         return self.vocab.select("token", F.col("freq").alias("v")), F.lit(0)
 
+    def _fold_values(self, vocab):
+        values = vocab.select("fold", "token", F.col("freq").alias("v"))
+        return values, values.select("fold").distinct().withColumn("v", F.lit(0).cast("bigint"))
+
 
 class TokenRankSequence(_VocabularyMapper):
     """ln(1 + frequency rank) of every stem; unseen stems rank after the last."""
@@ -164,6 +196,10 @@ class TokenRankSequence(_VocabularyMapper):
     def _values(self):
         return self.vocab.select("token", F.col("rank").alias("v")), vc.max_rank(self.vocab).scalar() + 1
 
+    def _fold_values(self, vocab):
+        values = vc.ranked(vocab, ["fold"]).select("fold", "token", F.col("rank").alias("v"))
+        return values, values.groupBy("fold").agg((F.max("v") + 1).alias("v"))
+
 
 class TokenRankDistribution(CorpusDependentMapper):
     """Counts of the ``length`` most frequent stems, in token order, zeros included."""
@@ -202,16 +238,29 @@ class TokenRankDistribution(CorpusDependentMapper):
             seen = tk.stem_of(rows.select("token").distinct(), self.stem_mode)
             places = seen.join(top.withColumnRenamed("token", "stem"), "stem").select("token", "t")
             placed = rows.join(places, "token")
+        size = self.top.agg(F.count(F.lit(1)).cast("int")).scalar()
+        return self._dense(docs.select(*keep).withColumn("size", size), placed, keep)
+
+    def fold_series(self, docs, folds, k):
+        rows = tk.tokens(docs, self.tokenizer)
+        placed = docs.join(folds.select("doc_id", "fold"), "doc_id")
+        counted = vc.vocabulary(tk.tokens(placed, self.tokenizer, ["doc_id", "fold"]), self.stem_mode, ("fold",))
+        vocab = vc.training_vocabularies(counted, k)
+        top = checkpointed(vc.top_vocabulary(vocab, self.length, ["fold"]).select("fold", "token", "t"))
+        listed = top.groupBy(F.col("token").alias("stem")).agg(F.collect_list(F.struct("fold", "t")).alias("ts"))
+        stems = tk.stem_of(rows.select("token").distinct(), self.stem_mode)
+        places = stems.join(listed, "stem").select("token", "ts")
+        found = rows.join(places, "token").select("doc_id", F.inline("ts"))
+        sizes = top.groupBy("fold").agg(F.count(F.lit(1)).cast("int").alias("size"))
+        every = docs.select("doc_id", F.explode(F.array(*[F.lit(f) for f in range(k)])).alias("fold"))
+        return self._dense(every.join(F.broadcast(sizes), "fold"), found, ["fold", "doc_id"])
+
+    def _dense(self, wanted: DataFrame, placed: DataFrame, keep: list[str]) -> DataFrame:
+        """Zero-filled series of ``wanted`` (keep..., size), built per document from its non-zero entries."""
         counts = placed.groupBy(*keep, "t").agg(F.count(F.lit(1)).alias("n"))
-        # The dense series is built per document from its non-zero entries (<= length).
         entries = counts.groupBy(*keep).agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("m"))
-        dense = docs.select(*keep).join(entries, keep, "left")
-        size = self.top.agg(F.count(F.lit(1)).cast("int")).scalar()
-        dense = dense.withColumn("places", F.sequence(F.lit(0), size - 1))
-        values = F.transform(
-            F.col("places"),
-            lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0)),
-        )
+        dense = wanted.join(entries, keep, "left").withColumn("places", F.sequence(F.lit(0), F.col("size") - 1))
+        values = F.transform("places", lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0)))
         return self._series(dense.select(*keep, F.posexplode(values).alias("pos", "n")), keep, F.col("pos"), F.col("n"))
 
 

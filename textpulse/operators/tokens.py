@@ -93,7 +93,7 @@ def stemmed(token_rows: DataFrame, mode: str = "porter_case") -> DataFrame:
 
 def english_stop_words(spark: SparkSession) -> DataFrame:
     """The English stop-word list as a one-column table."""
-    return spark.createDataFrame([(w,) for w in ENGLISH], "token string")
+    return spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in ENGLISH])).alias("token"))
 
 
 def without_stop_words(token_rows: DataFrame, stop_words: DataFrame) -> DataFrame:

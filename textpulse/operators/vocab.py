@@ -32,9 +32,34 @@ def vocabulary(token_rows: DataFrame, stem_mode: str = "identity", by: tuple[str
     )
 
 
-def ranked(vocab: DataFrame) -> DataFrame:
+def training_vocabularies(per_fold: DataFrame, k: int) -> DataFrame:
+    """(fold, token, freq, first_doc, first_pos) of every fold's training side, from counts per fold.
+
+    ``per_fold`` is :func:`vocabulary` by fold. A training count is the total
+    minus the fold's own count, a first position the least over the other
+    folds: the texts are counted once for all folds.
+    """
+    entry = F.struct("fold", "freq", F.struct("first_doc", "first_pos").alias("first"))
+    tokens = per_fold.groupBy("token").agg(F.collect_list(entry).alias("es"))
+    rows = tokens.select("token", "es", F.explode(F.array(*[F.lit(f) for f in range(k)])).alias("fold"))
+    others = rows.select("fold", "token", F.filter("es", lambda e: e["fold"] != F.col("fold")).alias("es"))
+    return others.filter(F.size("es") > 0).select(
+        "fold", "token",
+        F.aggregate("es", F.lit(0).cast("bigint"), lambda a, e: a + e["freq"]).alias("freq"),
+        F.array_min(F.transform("es", lambda e: e["first"])).alias("_first"),
+    ).select(
+        "fold", "token", "freq", F.col("_first.first_doc").alias("first_doc"), F.col("_first.first_pos").alias("first_pos")
+    )
+
+
+def ranked(vocab: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Add ``rank``: 1 for the most frequent token, ties in first-seen order."""
-    return with_position(vocab, [F.col("freq").desc(), F.col("first_doc"), F.col("first_pos")], "rank")
+    order = [F.col("freq").desc(), F.col("first_doc"), F.col("first_pos")]
+    if not by:
+        return with_position(vocab, order, "rank")
+    placed = with_position(vocab, [*by, *order], "rank")
+    before = placed.groupBy(*by).agg((F.min("rank") - 1).alias("_before"))
+    return placed.join(F.broadcast(before), by).withColumn("rank", F.col("rank") - F.col("_before")).drop("_before")
 
 
 def max_rank(ranks: DataFrame) -> DataFrame:
@@ -42,12 +67,17 @@ def max_rank(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.max("rank").alias("max_rank"))
 
 
-def top_vocabulary(vocab: DataFrame, k: int) -> DataFrame:
+def top_vocabulary(vocab: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """The ``k`` most frequent tokens (ties: smaller token first), ``t`` in token order.
 
-    ``limit`` keeps k rows per task and merges them; the numbering window then
-    sees k rows.
+    Both forms keep k rows per task before they meet (Spark turns the filter on
+    row_number into a limit inside each task); the numbering window sees k rows.
     """
+    if by:
+        w = Window.partitionBy(*by)
+        best = vocab.withColumn("_k", F.row_number().over(w.orderBy(F.col("freq").desc(), F.col("token"))))
+        kept = best.filter(F.col("_k") <= k).drop("_k")
+        return kept.withColumn("t", F.row_number().over(w.orderBy("token")) - 1)
     top = vocab.orderBy(F.col("freq").desc(), F.col("token")).limit(k)
     return top.withColumn("t", F.row_number().over(Window.orderBy("token")) - 1)
 

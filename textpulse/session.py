@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "textpulse", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -57,3 +58,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a table under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: dict[str, str]) -> DataFrame:
+    """A few literal rows as a table that never leaves the JVM; ``schema`` maps names to types."""
+    structs = [F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(row, schema.items())]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
