@@ -21,9 +21,11 @@ from textpulse.queries.registry import (
     documents,
     r6,
     register,
+    rounded,
     sql_r6,
     table,
 )
+from textpulse.session import checkpointed
 
 
 def lengths(spark, folder):
@@ -478,7 +480,8 @@ def feature_imputation(spark, folder):
 @register("feature_catalogue")
 def feature_catalogue(spark, folder):
     """Every calculator over the length distribution of every document."""
-    return ex.impute(ex.extract_features(shares(spark, folder)))
+    raw = checkpointed(ex.extract_features(checkpointed(shares(spark, folder))))
+    return rounded(ex.impute(raw).select("doc_id", "feature", "value"), "value")
 
 
 @register(

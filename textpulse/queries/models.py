@@ -14,6 +14,7 @@ from textpulse.operators import selection as se
 from textpulse.operators import tokens as tk
 from textpulse.operators.features import extract as ex
 from textpulse.queries.features import BASE, STATS, lengths
+from textpulse.session import checkpointed
 from textpulse.queries.registry import SQL_WORDS, documents, r6, register, rounded, sql_r6, table
 
 # --- selection -----------------------------------------------------------------------------------------
@@ -111,13 +112,13 @@ def constant_features(spark, folder):
 
 _BY_SQL = """byt AS (SELECT feature, label, p, row_number() OVER (ORDER BY p, feature, label) AS k, count(*) OVER () AS m FROM fisher),
 byh AS (SELECT *, sum(1 / k) OVER () AS h FROM byt),
-byl AS (SELECT *, max(CASE WHEN p <= 0.2 * k / (m * h) THEN k END) OVER () AS last FROM byh),
+byl AS (SELECT *, max(CASE WHEN p <= 15.0 * k / (m * h) THEN k END) OVER () AS last FROM byh),
 byr AS (SELECT feature, label, p, k <= coalesce(last, 0) AS relevant FROM byl)"""
 
 
 def _decided(spark, folder):
     values = se.value_table(basic_features(spark, folder), labels_of(spark, folder))
-    return se.benjamini_yekutieli(se.fisher_exact(values).select("feature", "label", "p_value"), 0.2)
+    return se.benjamini_yekutieli(se.fisher_exact(values).select("feature", "label", "p_value"), 15.0)
 
 
 @register(
@@ -149,11 +150,11 @@ def occurrence_histogram(spark, folder):
 @register(
     "relevant_in_every_class",
     f"""{_BASIC_SQL}, {_FISHER_SQL}, {_BY_SQL}, o AS (SELECT feature, max(p) AS p, count(*) AS c FROM byr WHERE relevant GROUP BY feature)
-    SELECT feature, {sql_r6('p')} AS p_value, CAST(c AS INTEGER) AS occurrence FROM o WHERE c = 3""",
+    SELECT feature, {sql_r6('p')} AS p_value, CAST(c AS INTEGER) AS occurrence FROM o WHERE c = 4""",
 )
 def relevant_in_every_class(spark, folder):
-    """Relevant for at least as many classes as asked for, here three of the four."""
-    return rounded(se.relevant_for_all(_decided(spark, folder), 3), "p_value")
+    """Relevant for each of the four languages."""
+    return rounded(se.relevant_for_all(_decided(spark, folder), 4), "p_value")
 
 
 @register("selected_features")
@@ -161,8 +162,8 @@ def selected_features(spark, folder):
     """The relevance table of the basic calculators on two series, with every test."""
     docs = documents(spark, folder)
     series = mp.TokenLengthDistribution(tokenizer=tx.word_marks).transform(docs)
-    values = ex.impute(ex.extract_features(series, families=ex.BASIC_FAMILIES))
-    table_ = se.select_relevant_features(values, labels_of(spark, folder), 0.05)
+    raw = checkpointed(ex.extract_features(checkpointed(series), families=ex.BASIC_FAMILIES))
+    table_ = se.select_relevant_features(ex.impute(raw), labels_of(spark, folder), 0.05)
     return rounded(table_, "p_value")
 
 
