@@ -179,9 +179,9 @@ def projected_features(spark, folder):
 
 # --- folds and scores ----------------------------------------------------------------------------------
 
-_FOLD_SQL = """folds AS (SELECT doc_id, lang AS label, CAST((row_number() OVER (
+FOLD_SQL = """folds AS (SELECT doc_id, lang AS label, CAST((row_number() OVER (
     PARTITION BY lang ORDER BY md5('{seed}:' || doc_id), doc_id) - 1) % {k} AS INTEGER) AS fold FROM documents)"""
-FOLDS = _FOLD_SQL.format(seed=0, k=10)
+FOLDS = FOLD_SQL.format(seed=0, k=10)
 
 
 @register("stratified_folds", f"WITH {FOLDS} SELECT doc_id, label, fold FROM folds")
