@@ -268,7 +268,7 @@ def _nb_sql(alphas: list[float]) -> str:
     f"WITH held AS (SELECT doc_id, -1 AS fold FROM documents), {_nb_sql([0.5])} SELECT doc_id, class, {sql_r6('proba')} AS proba FROM pb",
 )
 def naive_bayes_probabilities(spark, folder):
-    docs, bow = documents(spark, folder), word_counts(spark, folder)
+    docs, bow = documents(spark, folder), checkpointed(word_counts(spark, folder))
     labels = docs.select("doc_id", "label")
     priors = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_docs"))
     scores = nb.log_scores(bow, nb.class_counts(bow, labels), priors, [0.5], docs=labels.select("doc_id"))
@@ -284,13 +284,13 @@ _ALPHA_SQL = f"""WITH {FOLDS}, held AS (SELECT doc_id, fold FROM folds), {_nb_sq
 @register("naive_bayes_alpha_losses", f"{_ALPHA_SQL} SELECT alpha, {sql_r6('loss')} AS loss FROM al")
 def naive_bayes_alpha_losses(spark, folder):
     docs = documents(spark, folder)
-    return rounded(nb.alpha_losses(word_counts(spark, folder), fo.stratified_folds(docs, 10)), "loss")
+    return rounded(nb.alpha_losses(checkpointed(word_counts(spark, folder)), fo.stratified_folds(docs, 10)), "loss")
 
 
 @register("naive_bayes_best_alpha", f"{_ALPHA_SQL} SELECT alpha FROM al ORDER BY loss, alpha LIMIT 1")
 def naive_bayes_best_alpha(spark, folder):
     docs = documents(spark, folder)
-    return nb.best_alpha(nb.alpha_losses(word_counts(spark, folder), fo.stratified_folds(docs, 10)))
+    return nb.best_alpha(nb.alpha_losses(checkpointed(word_counts(spark, folder)), fo.stratified_folds(docs, 10)))
 
 
 # Predictions by class priors within a text length band: cheap methods whose fold scores feed the tests.

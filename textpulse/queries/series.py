@@ -25,12 +25,12 @@ def _digest(series):
     """Per-document digest that depends on every value and its place."""
     return series.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"), r6(F.max("value")).alias("largest"),
-        r6(F.sum(F.col("value") * (F.col("t") % 97 + 1))).alias("checksum"),
+        r6(F.sum(F.col("value") * (F.col("t") % 97 + 1)) / 1000).alias("checksum"),
     )
 
 
 _DIGEST_SQL = f"""SELECT doc_id, count(*) AS n, {sql_r6('sum(value)')} AS total, {sql_r6('max(value)')} AS largest,
-  {sql_r6('sum(value * (t % 97 + 1))')} AS checksum FROM s GROUP BY doc_id"""
+  {sql_r6('sum(value * (t % 97 + 1)) / 1000')} AS checksum FROM s GROUP BY doc_id"""
 
 
 @register("token_length_sequence", f"WITH {SQL_TOKENS}, {SQL_SERIES} {_DIGEST_SQL}")
