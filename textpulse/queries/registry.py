@@ -44,6 +44,15 @@ def sql_r6(x: str) -> str:
     return f"(round({x} + 1.7e-10, 6) + 0.0)"
 
 
+def micros(x: str) -> Column:
+    """Millionths as integers: long sums of them do not depend on the order of addition."""
+    return F.round(F.col(x) * 1e6).cast("bigint")
+
+
+def sql_micros(x: str) -> str:
+    return f"CAST(round({x} * 1e6) AS BIGINT)"
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return read_documents(spark, folder)
 

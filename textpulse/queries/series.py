@@ -13,8 +13,10 @@ from textpulse.queries.registry import (
     SQL_VOCAB,
     SQL_WORDS,
     documents,
+    micros,
     r6,
     register,
+    sql_micros,
     sql_r6,
     table,
 )
@@ -24,13 +26,13 @@ from textpulse.sources.tables import spread
 def _digest(series):
     """Per-document digest that depends on every value and its place."""
     return series.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"), r6(F.max("value")).alias("largest"),
-        r6(F.sum(F.col("value") * (F.col("t") % 97 + 1)) / 1000).alias("checksum"),
+        F.count(F.lit(1)).alias("n"), F.sum(micros("value")).alias("total"), r6(F.max("value")).alias("largest"),
+        F.sum(micros("value") * (F.col("t") % 97 + 1)).alias("checksum"),
     )
 
 
-_DIGEST_SQL = f"""SELECT doc_id, count(*) AS n, {sql_r6('sum(value)')} AS total, {sql_r6('max(value)')} AS largest,
-  {sql_r6('sum(value * (t % 97 + 1)) / 1000')} AS checksum FROM s GROUP BY doc_id"""
+_DIGEST_SQL = f"""SELECT doc_id, count(*) AS n, CAST(sum({sql_micros('value')}) AS BIGINT) AS total, {sql_r6('max(value)')} AS largest,
+  CAST(sum({sql_micros('value')} * (t % 97 + 1)) AS BIGINT) AS checksum FROM s GROUP BY doc_id"""
 
 
 @register("token_length_sequence", f"WITH {SQL_TOKENS}, {SQL_SERIES} {_DIGEST_SQL}")
