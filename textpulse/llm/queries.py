@@ -1,4 +1,4 @@
 """The registered queries of this subpackage, and the SQL that must give the same rows."""
 
-from textpulse.llm import exact_dedup, piece_bpe, sharding, token_files, url_reputation
+from textpulse.llm import exact_dedup, language_id, near_dedup, piece_bpe, sharding, token_files, url_reputation
 from textpulse.llm.common import ORACLES, QUERIES  # noqa: F401
