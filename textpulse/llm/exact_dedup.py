@@ -19,8 +19,14 @@ from textpulse.llm.common import located, read, register, small, stored, whole_t
 from textpulse.session import scratch_path
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state store is on disk. It writes changes, not whole snapshots, gives up a partition's files when its batch is
+#: done, and reserves no disk ahead of what it holds.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def normalised(text: str = "text") -> Column:
@@ -39,8 +45,9 @@ def first_arrivals(spark: SparkSession, path: str, schema: StructType, bytes_per
     bounds a micro-batch (null: all that has arrived).
     """
     checkpoint = scratch_path(spark, "dedup-state")
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         reader = spark.readStream.schema(schema)
         if bytes_per_batch:
@@ -54,10 +61,15 @@ def first_arrivals(spark: SparkSession, path: str, schema: StructType, bytes_per
             .start()
         )
         query.awaitTermination()
+        kept = spark.read.format("statestore").load(checkpoint)
+        kept = kept.select("key.digest", F.col("value.min").alias("first"), F.col("value.count").alias("size"))
+        return written(kept, "digests")
     finally:
-        spark.conf.set(_PROVIDER, before)
-    kept = spark.read.format("statestore").load(checkpoint)
-    return kept.select("key.digest", F.col("value.min").alias("first"), F.col("value.count").alias("size"))
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def exact_groups(
@@ -81,7 +93,7 @@ def exact_groups(
     if arrivals.isEmpty():  # nothing to stream, and no state to read
         groups = arrivals.select("digest", F.col("rank").alias("first"), F.lit(1).cast("long").alias("size"))
     else:
-        groups = written(first_arrivals(docs.sparkSession, path, arriving.schema, bytes_per_batch), "digests")
+        groups = first_arrivals(docs.sparkSession, path, arriving.schema, bytes_per_batch)
 
     # Check the bytes of all hits. Copies meet in the map tasks first, so a hot group moves one text per task.
     hits = groups.filter("size > 1").select("digest")
