@@ -161,7 +161,7 @@ def candidates(nodes: DataFrame, similarity: float, trees: int) -> DataFrame:
         found.append(written(cluster.join(heads, "bucket").filter("a <> node").select("a", F.col("node").alias("b")), "candidates"))
         # Branch: each remaining node follows two tokens, chosen anew for each tree and depth.
         pick = lambda i: F.pmod(F.xxhash64("tree", F.lit(depth), F.lit(i)), F.lit(TOKENS - trees)) + F.lit(trees + 1)
-        steps = placed.filter(F.col("near") < _APART).withColumn("place", F.explode(F.array(pick(0), pick(1))).cast("int"))
+        steps = placed.filter(F.col("near") < _APART).withColumn("place", F.explode(F.array(pick(0).cast("int"), pick(1).cast("int"))))
         token = F.expr("substring(sig, place, 1)")
         entries = steps.select(F.xxhash64("bucket", "place", token).alias("bucket"), "tree", "node")
     out = found[0]
