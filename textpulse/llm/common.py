@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textpulse.session import scratch_path
@@ -64,6 +64,19 @@ def located(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_uid``, a number of each stored row that stays the same from scan to scan.
+
+    It is made of the number of the row's file, in order of the paths, and the row's place in it.
+    """
+    rows = located(docs)
+    files = rows.select("_file").distinct()
+    order = Window.orderBy("_file")  # one row a file
+    files = written(files.select("_file", (F.row_number().over(order) - 1).cast("long").alias("_number")), "files")
+    uid = F.shiftleft("_number", 40).bitwiseOR(F.col("_row"))
+    return rows.join(small(files), "_file").withColumn("_uid", uid).drop("_file", "_row", "_number")
+
+
 def whole_text(column: str = "text"):
     """The text column; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
