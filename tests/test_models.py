@@ -184,3 +184,46 @@ def test_iterative_stacking_improves_on_a_wrong_baseline(spark, authors):
     model.fit(authors, wrong, bayesian_level=0.5, wilcoxon_level=0.5)
     assert model.groups[0] == "baseline" and len(model.groups) >= 2
     assert model.store.read_evaluation_score("baseline").count() == 5
+
+
+def test_metrics_fit_the_score_table(spark):
+    rows = [
+        (d, "m", 0, "train" if d < 4 else "test", c, p)
+        for d, ps in enumerate([(0.9, 0.1), (0.2, 0.8), (0.6, 0.4), (0.5, 0.5), (0.3, 0.7), (0.8, 0.2)])
+        for c, p in zip("ab", ps)
+    ]
+    predictions = spark.createDataFrame(rows, "doc_id bigint, method string, fold int, split string, class string, proba double")
+    labels = spark.createDataFrame([(d, x) for d, x in enumerate("abbabb")], "doc_id bigint, label string")
+    loss = fo.score_table(predictions, labels).first()
+    assert loss.train == pytest.approx(-(math.log(0.9) + math.log(0.8) + math.log(0.4) + math.log(0.5)) / 4)
+    share = fo.score_table(predictions, labels, fo.accuracy).first()
+    assert (share.train, share.test) == (0.75, 0.5)
+    f1 = fo.score_table(predictions, labels, fo.macro_f1(["a", "b"])).first()
+    assert f1.train == pytest.approx((0.8 + 2 / 3) / 2) and f1.test == pytest.approx((0 + 2 / 3) / 2)
+
+
+def test_median_of_an_even_number_of_values(spark):
+    from textpulse.operators.features.extract import impute
+
+    values = [1.0, 2.0, 3.0, 10.0, None, float("inf"), float("-inf"), float("nan")]
+    rows = spark.createDataFrame([(i, "f", v) for i, v in enumerate(values)] + [(9, "g", None)], "doc_id bigint, feature string, value double")
+    got = {r.doc_id: r.value for r in impute(rows).collect()}
+    assert [got[i] for i in (4, 5, 6, 7, 9)] == [2.5, 10.0, 1.0, 2.5, 0.0]
+
+
+def test_top_vocabulary_of_groups_for_a_large_k(spark):
+    from textpulse.operators.vocab import top_vocabulary
+
+    rows = spark.range(4000).select(F.expr("CAST(id % 2 AS INT)").alias("fold"), F.expr("format_string('%05d', id)").alias("token"), F.expr("id % 7").alias("freq"))
+    got = top_vocabulary(rows, 1001, ["fold"])
+    assert got.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t")).distinct().count() == 2
+    assert [tuple(r) for r in got.groupBy("fold").agg(F.count(F.lit(1)), F.max("t"), F.min("freq")).orderBy("fold").collect()] == [(0, 1001, 1000, 3), (1, 1001, 1000, 3)]
+
+
+def test_addresses_do_not_collide(spark, tmp_path):
+    from textpulse.sources.store import ParquetStore
+
+    store = ParquetStore(spark, str(tmp_path))
+    for i, key in enumerate(["a/b", "a_b", "a%2Fb", ""]):
+        store.save_result(spark.range(i + 1), key)
+    assert [store.read_result(k).count() for k in ("a/b", "a_b", "a%2Fb", "")] == [1, 2, 3, 4]

@@ -53,7 +53,10 @@ def every_fold(rows: DataFrame, folds: DataFrame, k: int) -> DataFrame:
 
 
 def log_loss(label: str = "label") -> Column:
-    """Mean negative log probability of the true class (one row per document and class)."""
+    """Mean negative log probability of the true class.
+
+    Rows of other classes count for nothing, so one row per document and class will do as well as one per document.
+    """
     p = F.greatest(F.least(F.col("proba"), F.lit(1 - TINY)), F.lit(TINY))
     return -F.avg(F.when(F.col("class") == F.col(label), F.log(p)))
 
@@ -63,6 +66,18 @@ def accuracy(label: str = "label") -> Column:
     return F.avg((F.col("y") == F.col(label)).cast("double"))
 
 
+def class_f1(name: str, label: str = "label") -> Column:
+    """F1 of one class (one row per document with ``y``); 0 if it is neither given nor true."""
+    given, true = F.col("y") == name, F.col(label) == name
+    count = lambda c: F.coalesce(F.sum(c.cast("double")), F.lit(0.0))
+    return F.coalesce(F.try_divide(2 * count(given & true), count(given) + count(true)), F.lit(0.0))
+
+
+def macro_f1(classes: list[str]) -> Callable[[], Column]:
+    """Metric: the mean F1 of the classes."""
+    return lambda: sum((class_f1(c) for c in classes[1:]), class_f1(classes[0])) / len(classes)
+
+
 def most_likely(predictions: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., y): the class with the largest probability (ties: the smaller name)."""
     best = F.min(F.struct((-F.col("proba")).alias("p"), F.col("class")))["class"]
@@ -88,10 +103,16 @@ def f1_scores(predicted: DataFrame, label: str = "label") -> DataFrame:
 def score_table(predictions: DataFrame, labels: DataFrame, metric: Callable[[], Column] = log_loss) -> DataFrame:
     """(method, fold, train, test): the metric per fold and side.
 
-    ``predictions`` is (doc_id, method, fold, split, class, proba).
+    ``predictions`` is (doc_id, method, fold, split, class, proba). A metric
+    aggregates one row per document with its ``label``, the predicted class
+    ``y``, and the true class as ``class`` with its ``proba``.
     """
     scored = predictions.join(labels.select("doc_id", "label"), "doc_id")
-    sides = scored.groupBy("method", "fold", "split").agg(metric().alias("score"))
+    best = F.min(F.struct((-F.col("proba")).alias("p"), F.col("class")))["class"]
+    true = F.max(F.when(F.col("class") == F.col("label"), F.col("proba")))
+    one_each = scored.groupBy("method", "fold", "split", "doc_id", "label").agg(best.alias("y"), true.alias("proba"))
+    one_each = one_each.withColumn("class", F.col("label"))
+    sides = one_each.groupBy("method", "fold", "split").agg(metric().alias("score"))
     one = {s: F.max(F.when(F.col("split") == s, F.col("score"))).alias(s) for s in ("train", "test")}
     return sides.groupBy("method", "fold").agg(one["train"], one["test"])
 

@@ -61,11 +61,13 @@ def one_task_per_text(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     Moving a text once is cheaper than moving its exploded tokens, and a
     document is one input row, which bounds the size of its group. The number of
-    partitions follows the input splits (the series is several times larger
-    than its text) and is given, as AQE would merge by the size of the texts.
+    partitions is the session's, and given, as AQE would merge by the size of
+    the texts, of which the series is a multiple. Asking the plan for its own
+    number would run its shuffles.
     """
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(max(cores, 2 * docs.rdd.getNumPartitions()), keep[0])
+    spark = docs.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartition(max(wanted, spark.sparkContext.defaultParallelism), keep[0])
 
 
 class TokenLengthSequence(CorpusIndependentMapper):

@@ -10,9 +10,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textpulse.session import checkpointed
+
 # Prior of the model.
 SD_LOW, SD_HIGH = 0.01, 0.1
 NU_MEAN = 29.0
@@ -117,23 +121,46 @@ def sd_difference_posterior(cells: DataFrame) -> DataFrame:
     return _normalised(both.select("candidate", F.round(x, 9).alias("cell"), x.alias("x"), "w"), "difference of stds")
 
 
-def effect_size_posterior(cells: DataFrame, bins_per_unit: int = 20) -> DataFrame:
-    """The same for (difference of means) / rms deviation, in bins. Needs a coarse grid (see callers)."""
-    both = _both(_weights(cells, "mu", "sd").filter("w > 1e-9"), "mu", "sd")
-    rms = F.sqrt((F.col("sd_a") * F.col("sd_a") + F.col("sd_b") * F.col("sd_b")) / 2)
-    x = (F.col("mu_a") - F.col("mu_b")) / rms
-    binned = both.select("candidate", F.round(x * bins_per_unit).alias("cell"), "w")
-    return _normalised(binned.withColumn("x", F.col("cell") / bins_per_unit), "effect size")
+def effect_size_posterior(cells: DataFrame) -> DataFrame:
+    """The same for (difference of means) / rms deviation, over all pairs of cells of the full grid.
+
+    Means have one step, so the pairs of cells with one difference i - j and one pair of deviations have one value:
+    their weights are a cross-correlation of two rows of the grid. A comparison is one grid of fixed size.
+    """
+    weights = _weights(cells, "i", "mu", "sd")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        mu = {g: d.groupby("i")["mu"].first() for g, d in pdf.groupby("grp")}
+        step = mu["current"].diff().mean()
+        base = mu["current"].iloc[0] - mu["score"].iloc[0]
+        sds = np.sort(pdf["sd"].unique())
+        points = len(mu["current"])
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for _, part in pdf.groupby("nu"):
+            grid = {}
+            for g, d in part.groupby("grp"):
+                grid[g] = np.zeros((len(sds), points))
+                grid[g][np.searchsorted(sds, d["sd"]), d["i"]] = d["w"]
+            for a in range(len(sds)):
+                for b in range(len(sds)):
+                    pair = (min(a, b), max(a, b))
+                    w = np.correlate(grid["current"][a], grid["score"][b], "full")
+                    total[pair] = total[pair] + w if pair in total else w
+        x = np.concatenate([(base + step * np.arange(1 - points, points)) / np.sqrt((sds[a] ** 2 + sds[b] ** 2) / 2) for a, b in total])
+        w = np.concatenate(list(total.values()))
+        return pd.DataFrame({"candidate": pdf["candidate"].iloc[0], "quantity": "effect size", "x": x, "weight": w / w.sum()})
+
+    schema = "candidate string, quantity string, x double, weight double"
+    return weights.groupBy("candidate").applyInPandas(one, schema)
 
 
 def posterior(pairs: DataFrame) -> DataFrame:
     """All three derived quantities of every comparison."""
-    cells = group_posterior(pairs)
-    coarse = group_posterior(pairs, mean_points=41, sd_points=10, nus=4)
+    cells = checkpointed(group_posterior(pairs))
     return (
         mean_difference_posterior(cells)
         .unionByName(sd_difference_posterior(cells))
-        .unionByName(effect_size_posterior(coarse))
+        .unionByName(effect_size_posterior(cells))
     )
 
 

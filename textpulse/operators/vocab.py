@@ -70,14 +70,15 @@ def max_rank(ranks: DataFrame) -> DataFrame:
 def top_vocabulary(vocab: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """The ``k`` most frequent tokens (ties: smaller token first), ``t`` in token order.
 
-    Both forms keep k rows per task before they meet (Spark turns the filter on
-    row_number into a limit inside each task); the numbering window sees k rows.
+    The global form keeps k rows per task before they meet. With groups, all
+    groups' tokens are placed in one range-partitioned order, whatever k is; the
+    numbering window sees k rows.
     """
     if by:
-        w = Window.partitionBy(*by)
-        best = vocab.withColumn("_k", F.row_number().over(w.orderBy(F.col("freq").desc(), F.col("token"))))
-        kept = best.filter(F.col("_k") <= k).drop("_k")
-        return kept.withColumn("t", F.row_number().over(w.orderBy("token")) - 1)
+        placed = with_position(vocab, [*by, F.col("freq").desc(), "token"], "_k")
+        before = placed.groupBy(*by).agg((F.min("_k") - 1).alias("_before"))  # one row a group
+        kept = placed.join(F.broadcast(before), by).filter(F.col("_k") - F.col("_before") <= k).drop("_k", "_before")
+        return kept.withColumn("t", F.row_number().over(Window.partitionBy(*by).orderBy("token")) - 1)
     top = vocab.orderBy(F.col("freq").desc(), F.col("token")).limit(k)
     return top.withColumn("t", F.row_number().over(Window.orderBy("token")) - 1)
 

@@ -459,7 +459,7 @@ def feature_entropies(spark, folder):
     f"""{BASE}, {STATS}, f AS (SELECT doc_id, 'spread' AS feature, CASE WHEN sd > 2.5 THEN 'Infinity'::DOUBLE
         WHEN sd < 1.5 THEN '-Infinity'::DOUBLE WHEN n < 10 THEN NULL ELSE round(sd, 3) END AS value
       FROM st JOIN sds USING (doc_id)),
-    g AS (SELECT max(value) AS top, min(value) AS low, quantile_disc(value, 0.5) AS middle FROM f
+    g AS (SELECT max(value) AS top, min(value) AS low, median(value) AS middle FROM f
       WHERE isfinite(value))
     SELECT doc_id, feature, {sql_r6("CASE WHEN value = 'Infinity' THEN top WHEN value = '-Infinity' THEN low WHEN value IS NULL THEN middle ELSE value END")}
       AS value FROM f, g""",

@@ -293,6 +293,28 @@ def naive_bayes_best_alpha(spark, folder):
     return nb.best_alpha(nb.alpha_losses(checkpointed(word_counts(spark, folder)), fo.stratified_folds(docs, 10)))
 
 
+def _fold_alpha_sql(k: int = 5) -> str:
+    """Best smoothing value per fold, chosen on the documents of the other folds alone."""
+    one = f"""SELECT alpha FROM (WITH folds AS (SELECT doc_id, fold FROM kept WHERE fold <> <outer>),
+      documents AS (SELECT d.* FROM every d JOIN folds USING (doc_id)), held AS (SELECT doc_id, fold FROM folds), {_nb_sql(nb.ALPHAS)},
+      pf AS (SELECT alpha, fold, -avg(ln(greatest(least(proba, 1 - 1e-15), 1e-15))) AS loss
+        FROM pb JOIN documents d USING (doc_id) WHERE class = lang GROUP BY 1, 2),
+      al AS (SELECT alpha, avg(loss) AS loss FROM pf GROUP BY alpha)
+      SELECT alpha FROM al ORDER BY loss, alpha LIMIT 1)"""
+    folds = " UNION ALL ".join(f"SELECT {f} AS fold, ({one.replace('<outer>', str(f))}) AS alpha" for f in range(k))
+    return f"""WITH every AS (SELECT * FROM documents), {FOLD_SQL.format(seed=0, k=k)}, kept AS (SELECT * FROM folds)
+    SELECT CAST(fold AS INTEGER) AS fold, alpha FROM ({folds})"""
+
+
+@register("naive_bayes_fold_alphas", _fold_alpha_sql())
+def naive_bayes_fold_alphas(spark, folder):
+    """The smoothing value of each fold, without a look at its own documents."""
+    docs = documents(spark, folder)
+    folds = checkpointed(fo.stratified_folds(docs.select("doc_id", "label"), 5))
+    losses = nb.fold_alpha_losses(checkpointed(word_counts(spark, folder)), folds)
+    return nb.best_fold_alphas(losses).select(F.col("fold").cast("int").alias("fold"), "alpha")
+
+
 # Predictions by class priors within a text length band: cheap methods whose fold scores feed the tests.
 
 
@@ -334,6 +356,19 @@ def band_scores(spark, folder):
     return fo.score_table(band_predictions(spark, folder), labels_of(spark, folder))
 
 
+@register(
+    "fold_accuracy_scores",
+    f"""{_BAND_SQL}, best AS (SELECT doc_id, method, fold, split, label, min_by(class, struct_pack(p := -proba, c := class)) AS y
+      FROM pd GROUP BY ALL)
+    SELECT method, CAST(fold AS INTEGER) AS fold, {sql_r6("avg(CAST(y = label AS INT)) FILTER (split = 'train')")} AS train,
+      {sql_r6("avg(CAST(y = label AS INT)) FILTER (split = 'test')")} AS test FROM best GROUP BY 1, 2""",
+)
+def fold_accuracy_scores(spark, folder):
+    """The score table under another metric."""
+    table = fo.score_table(band_predictions(spark, folder), labels_of(spark, folder), fo.accuracy)
+    return rounded(table, "train", "test")
+
+
 @register(
     "fold_score_table",
     f"{_BAND_SQL} SELECT method, CAST(fold AS INTEGER) AS fold, {sql_r6('train')} AS train, {sql_r6('test')} AS test FROM sc",
