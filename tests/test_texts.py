@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textpulse.functions import text as tx
-from textpulse.functions.stemmer import porter
+from plain_stemmer import porter
+
+from textpulse.functions.stemmer import porter_stem, stem_sql
 from textpulse.operators import mappers as mp
 from textpulse.operators import tokens as tk
 from textpulse.operators import vocab as vc
@@ -22,6 +24,24 @@ def tokens_of(spark, tokenizer, text):
     return spark.createDataFrame([(text,)], "text string").select(tokenizer(F.col("text"))).first()[0]
 
 
+def test_stems_in_both_engines(spark):
+    import random
+
+    import duckdb
+
+    chance = random.Random(1)
+    ends = "s ies sses ed ied eed ing y e ll ational alli logi izer ization fulness icate ative al ance er ion tion ement able ous yy".split()
+    words = list(STEMS) + ["Skies", "dying", "yyy", "sayyyed", "1y1", "vying", "", "éed"]
+    words += ["".join(chance.choices("abcdegilnorstuyvz", k=chance.randint(1, 6))) + chance.choice(ends) for _ in range(3000)]
+    want = {w: porter(w) for w in words}
+    got = spark.createDataFrame([(w,) for w in want], "token string").withColumn("stem", porter_stem()).collect()
+    assert {r.token: r.stem for r in got} == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (token VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", [(w,) for w in list(want)[:400]])
+    assert dict(con.execute(f"SELECT token, {stem_sql('token')} FROM t").fetchall()) == {w: want[w] for w in list(want)[:400]}
+
+
 def test_porter_examples():
     assert {w: porter(w) for w in STEMS} == STEMS
 

@@ -1,10 +1,16 @@
-"""Porter stemming (Porter 1980, with the usual later extensions)."""
+"""Porter stemming (Porter 1980, with the usual later extensions) as an expression over a token column.
+
+The rules are written once, as SQL, for Spark and for the engine that checks it; a ``Dialect`` says how each binds a
+name to a value, so that every step is worked out once however often it is used.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Words whose stem the rules would get wrong.
 IRREGULAR = {
@@ -31,109 +37,155 @@ STEP4 = [
 ]
 
 
-def _shape(word: str) -> str:
-    """One letter per character: c for consonant, v for vowel (y follows its neighbour)."""
-    out = []
-    for ch in word:
-        if ch in "aeiou" or (ch == "y" and out and out[-1] == "c"):
-            out.append("v")
-        else:
-            out.append("c")
-    return "".join(out)
-
-
-def _measure(stem: str) -> int:
-    return _shape(stem).count("vc")
-
-
-def _closed(stem: str) -> bool:
-    """Ends consonant-vowel-consonant (last not w, x, y), or is vowel-consonant."""
-    shape = _shape(stem)
-    if len(stem) == 2:
-        return shape == "vc"
-    return shape.endswith("cvc") and stem[-1] not in "wxy"
-
-
-def _plural(word: str) -> str:
-    if word.endswith("ies"):
-        return word[:-1] if len(word) == 4 else word[:-2]
-    if word.endswith("sses"):
-        return word[:-2]
-    if word.endswith("s") and not word.endswith("ss"):
-        return word[:-1]
-    return word
-
-
-def _past(word: str) -> str:
-    if word.endswith("ied"):
-        return word[:-1] if len(word) == 4 else word[:-2]
-    if word.endswith("eed"):
-        return word[:-1] if _measure(word[:-3]) > 0 else word
-    for suffix in ("ed", "ing"):
-        stem = word[: -len(suffix)]
-        if word.endswith(suffix) and "v" in _shape(stem):
-            if stem.endswith(("at", "bl", "iz")):
-                return stem + "e"
-            if len(stem) > 1 and stem[-1] == stem[-2] and _shape(stem)[-1] == "c":
-                return stem if stem[-1] in "lsz" else stem[:-1]
-            return stem + "e" if _measure(stem) == 1 and _closed(stem) else stem
-    return word
-
-
-def _final_y(word: str) -> str:
-    if word.endswith("y") and len(word) > 2 and _shape(word)[-2] == "c":
-        return word[:-1] + "i"
-    return word
-
-
-def _replace(word: str, rules: list[tuple[str, str]]) -> str:
-    for suffix, new in rules:
-        if word.endswith(suffix):
-            stem = word[: -len(suffix)]
-            return stem + new if _measure(stem) > 0 else word
-    return word
-
-
-def _double(word: str) -> str:
-    if word.endswith("alli") and _measure(word[:-4]) > 0:
-        return _double(word[:-2])
-    if word.endswith("logi"):
-        return word[:-1] if _measure(word[:-3]) > 0 else word
-    return _replace(word, STEP2)
-
-
-def _drop(word: str) -> str:
-    for suffix in STEP4:
-        if word.endswith(suffix):
-            stem = word[: -len(suffix)]
-            if suffix == "ion" and not stem.endswith(("s", "t")):
-                return word
-            return stem if _measure(stem) > 1 else word
-    return word
-
-
-def _tidy(word: str) -> str:
-    if word.endswith("e"):
-        stem = word[:-1]
-        m = _measure(stem)
-        if m > 1 or (m == 1 and not _closed(stem)):
-            word = stem
-    if word.endswith("ll") and _measure(word[:-1]) > 1:
-        word = word[:-1]
-    return word
-
-
-def porter(word: str) -> str:
-    word = word.lower()
-    if word in IRREGULAR:
-        return IRREGULAR[word]
-    if len(word) <= 2:
-        return word
-    word = _final_y(_past(_plural(word)))
-    return _tidy(_drop(_replace(_double(word), STEP3)))
-
-
-@F.pandas_udf(T.StringType())
-def porter_stem(token: pd.Series) -> pd.Series:
-    """Stems of a column of (distinct) tokens."""
-    return token.map(porter)
+@dataclass(frozen=True)
+class Dialect:
+    bind: str  # value, name, body -> the body with the name standing for the value
+    replace: str  # all matches of a pattern
+
+
+SPARK = Dialect("transform(array({value}), {name} -> {body})[0]", "regexp_replace({text}, '{pattern}', '{new}')")
+DUCKDB = Dialect("list_transform([{value}], lambda {name}: {body})[1]", "regexp_replace({text}, '{pattern}', '{new}', 'g')")
+
+
+class _Rules:
+    """SQL of the steps; each takes and gives the SQL of a word."""
+
+    def __init__(self, dialect: Dialect):
+        self.dialect, self.names = dialect, 0
+
+    def let(self, value: str, body: Callable[[str], str]) -> str:
+        self.names += 1
+        name = f"w{self.names}"
+        return "(" + self.dialect.bind.format(value=value, name=name, body=body(name)) + ")"
+
+    def replaced(self, text: str, *rules: tuple[str, str]) -> str:
+        for pattern, new in rules:
+            if self.dialect is DUCKDB:
+                new = new.replace("$", "\\")
+            text = self.dialect.replace.format(text=text, pattern=pattern, new=new)
+        return text
+
+    def shape(self, word: str) -> str:
+        """One digit per character: 1 for a vowel, 0 for a consonant; y follows its neighbour."""
+        marked = self.replaced(f"translate({word}, '1Y', '00')", ("(^|[aeiou])y", "$1Y"), ("yy", "yY"))
+        return self.replaced(marked, ("[aeiouy]", "1"), ("[^1]", "0"))
+
+    @staticmethod
+    def ends(word: str, suffix: str) -> str:
+        return f"right({word}, {len(suffix)}) = '{suffix}'"
+
+    @staticmethod
+    def cut(word: str, n: int) -> str:
+        return f"substring({word}, 1, length({word}) - {n})"
+
+    @staticmethod
+    def case(*branches: tuple[str, str], other: str) -> str:
+        return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in branches) + f" ELSE {other} END"
+
+    @staticmethod
+    def closed(word: str, shape: str) -> str:
+        """Ends consonant-vowel-consonant (last not w, x, y), or is vowel-consonant."""
+        longer = f"right({shape}, 3) = '010' AND right({word}, 1) NOT IN ('w', 'x', 'y')"
+        return f"CASE WHEN length({word}) = 2 THEN {shape} = '10' ELSE {longer} END"
+
+    @staticmethod
+    def measured(shape: str) -> str:
+        """The measure is above 0; ``long`` says whether it is above 1."""
+        return f"contains({shape}, '10')"
+
+    @staticmethod
+    def long(shape: str) -> str:
+        return f"{shape} LIKE '%10%10%'"
+
+    def plural(self, w: str) -> str:
+        return self.case(
+            (self.ends(w, "ies"), self.case((f"length({w}) = 4", self.cut(w, 1)), other=self.cut(w, 2))),
+            (self.ends(w, "sses"), self.cut(w, 2)),
+            (f"{self.ends(w, 's')} AND NOT {self.ends(w, 'ss')}", self.cut(w, 1)),
+            other=w,
+        )
+
+    def _after_past(self, stem: str) -> str:
+        def tidy(s: str, h: str) -> str:
+            double = f"length({s}) > 1 AND right({s}, 1) = substring({s}, length({s}) - 1, 1) AND right({h}, 1) = '0'"
+            return self.case(
+                (f"right({s}, 2) IN ('at', 'bl', 'iz')", f"concat({s}, 'e')"),
+                (double, self.case((f"right({s}, 1) IN ('l', 's', 'z')", s), other=self.cut(s, 1))),
+                (f"{self.measured(h)} AND NOT ({self.long(h)}) AND ({self.closed(s, h)})", f"concat({s}, 'e')"),
+                other=s,
+            )
+
+        return self.let(stem, lambda s: self.let(self.shape(s), lambda h: tidy(s, h)))
+
+    def past(self, w: str) -> str:
+        vowel = lambda n: f"contains({self.shape(self.cut(w, n))}, '1')"
+        return self.case(
+            (self.ends(w, "ied"), self.case((f"length({w}) = 4", self.cut(w, 1)), other=self.cut(w, 2))),
+            (self.ends(w, "eed"), self.case((self.measured(self.shape(self.cut(w, 3))), self.cut(w, 1)), other=w)),
+            (f"{self.ends(w, 'ed')} AND {vowel(2)}", self._after_past(self.cut(w, 2))),
+            (f"{self.ends(w, 'ing')} AND {vowel(3)}", self._after_past(self.cut(w, 3))),
+            other=w,
+        )
+
+    def final_y(self, w: str) -> str:
+        before = f"substring({self.shape(w)}, length({w}) - 1, 1) = '0'"
+        return self.case((f"{self.ends(w, 'y')} AND length({w}) > 2 AND {before}", f"concat({self.cut(w, 1)}, 'i')"), other=w)
+
+    def rules(self, w: str, rules: Sequence[tuple[str, str]]) -> str:
+        def one(suffix: str, new: str) -> tuple[str, str]:
+            stem = self.cut(w, len(suffix))
+            return self.ends(w, suffix), self.case((self.measured(self.shape(stem)), f"concat({stem}, '{new}')"), other=w)
+
+        return self.case(*(one(s, n) for s, n in rules), other=w)
+
+    def double(self, w: str) -> str:
+        alli = self.case((f"{self.ends(w, 'alli')} AND {self.measured(self.shape(self.cut(w, 4)))}", self.cut(w, 2)), other=w)
+
+        def rest(v: str) -> str:
+            logi = self.case((self.measured(self.shape(self.cut(v, 3))), self.cut(v, 1)), other=v)
+            return self.case((self.ends(v, "logi"), logi), other=self.rules(v, STEP2))
+
+        return self.let(alli, rest)
+
+    def drop(self, w: str) -> str:
+        def one(suffix: str) -> tuple[str, str]:
+            stem = self.cut(w, len(suffix))
+            gone = self.long(self.shape(stem))
+            if suffix == "ion":
+                gone = f"right({stem}, 1) IN ('s', 't') AND {gone}"
+            return self.ends(w, suffix), self.case((gone, stem), other=w)
+
+        return self.case(*(one(s) for s in STEP4), other=w)
+
+    def tidy(self, w: str) -> str:
+        def without_e(s: str, h: str) -> str:
+            gone = f"{self.long(h)} OR ({self.measured(h)} AND NOT ({self.closed(s, h)}))"
+            return self.case((gone, s), other=w)
+
+        shorter = self.let(self.cut(w, 1), lambda s: self.let(self.shape(s), lambda h: without_e(s, h)))
+        first = self.case((self.ends(w, "e"), shorter), other=w)
+        return self.let(first, lambda v: self.case((f"{self.ends(v, 'll')} AND {self.long(self.shape(self.cut(v, 1)))}", self.cut(v, 1)), other=v))
+
+    def stem(self, token: str) -> str:
+        steps = (self.plural, self.past, self.final_y, self.double, lambda w: self.rules(w, STEP3), self.drop, self.tidy)
+
+        def chain(w: str, rest: Sequence[Callable[[str], str]]) -> str:
+            return self.let(rest[0](w), lambda v: chain(v, rest[1:])) if rest else w
+
+        known = [(f"{{w}} = '{k}'", f"'{v}'") for k, v in IRREGULAR.items()]
+
+        def word(w: str) -> str:
+            irregular = [(c.format(w=w), v) for c, v in known]
+            return self.case(*irregular, (f"length({w}) <= 2", w), other=chain(w, steps))
+
+        return self.let(f"lower({token})", word)
+
+
+def stem_sql(token: str, dialect: Dialect = DUCKDB) -> str:
+    """SQL of the stem of the token that ``token`` is the SQL of."""
+    return _Rules(dialect).stem(token)
+
+
+def porter_stem(token: str = "token") -> Column:
+    """Stem of the column named ``token``; give it distinct tokens."""
+    return F.expr(stem_sql(f"`{token}`", SPARK))

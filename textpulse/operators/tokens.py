@@ -60,11 +60,6 @@ def tokens_or_mark(
     return rows.withColumn("token", F.coalesce("token", blank))
 
 
-def spread_for_python(df: DataFrame, key: str) -> DataFrame:
-    """Keep a partition per core before a Python stage (AQE would merge small ones)."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
-
-
 def stem_of(df: DataFrame, mode: str, token: str = "token") -> DataFrame:
     """Add ``stem`` to a table of **distinct** tokens.
 
@@ -75,7 +70,9 @@ def stem_of(df: DataFrame, mode: str, token: str = "token") -> DataFrame:
         return df.withColumn("stem", F.col(token))
     if mode == "lower":
         return df.withColumn("stem", F.lower(token))
-    stemmed = spread_for_python(df, token).withColumn("stem", porter_stem(F.col(token)))
+    # AQE would merge a small vocabulary into few tasks.
+    spread = df.repartition(df.sparkSession.sparkContext.defaultParallelism, token)
+    stemmed = spread.withColumn("stem", porter_stem(token))
     if mode == "porter":
         return stemmed
     if mode == "porter_case":

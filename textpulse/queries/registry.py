@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpulse.functions import text as tx
+from textpulse.functions.stemmer import stem_sql
 from textpulse.sources.tables import read_documents, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +104,17 @@ def treebank_sql(column: str = "text") -> str:
     for pattern, replacement in tx.TREEBANK_RULES:
         out = step(out, pattern, replacement)
     return f"regexp_extract_all({out}, {quote(tx.NON_SPACE)}, 1)"
+
+
+def sql_stemmed(raw: str, out: str, cased: bool) -> str:
+    """Common table expressions: ``out`` is ``raw`` (doc_id, token, pos) with Porter stems, if ``cased`` with the token's capitals."""
+    restored = """CASE WHEN stem = token THEN stem ELSE array_to_string(list_transform(range(1, length(stem) + 1), lambda i:
+      CASE WHEN substring(stem, i, 1) <> substring(token, i, 1) AND upper(substring(stem, i, 1)) = substring(token, i, 1)
+      THEN substring(token, i, 1) ELSE substring(stem, i, 1) END), '') END"""
+    return f"""{out}_v AS MATERIALIZED (SELECT token, {stem_sql('token')} AS stem FROM (SELECT DISTINCT token FROM {raw})),
+    {out}_s AS MATERIALIZED (SELECT token, {restored if cased else 'stem'} AS stem FROM {out}_v),
+    {out} AS (SELECT r.doc_id, r.pos, v.stem AS token FROM {raw} r JOIN {out}_s v USING (token))"""
+
+
+SQL_TREEBANK = f"""treebank AS (SELECT doc_id, unnest(ts) AS token, unnest(range(len(ts))) AS pos
+    FROM (SELECT doc_id, {treebank_sql()} AS ts FROM documents))"""

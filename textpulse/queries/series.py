@@ -10,6 +10,7 @@ from textpulse.queries.registry import (
     SQL_LENGTH_SHARES,
     SQL_SERIES,
     SQL_TOKENS,
+    SQL_TREEBANK,
     SQL_VOCAB,
     SQL_WORDS,
     documents,
@@ -18,6 +19,7 @@ from textpulse.queries.registry import (
     register,
     sql_micros,
     sql_r6,
+    sql_stemmed,
     table,
 )
 from textpulse.sources.tables import spread
@@ -99,19 +101,37 @@ def token_rank_distribution(spark, folder):
     return _digest(mp.TokenRankDistribution(stem_mode="identity").fit(docs).transform(docs))
 
 
-@register("stemmed_frequency_sequence")
+@register(
+    "stemmed_frequency_sequence",
+    f"""WITH {SQL_TREEBANK}, {sql_stemmed('treebank', 'tok', True)}, vocab AS (SELECT token, count(*) AS freq FROM tok GROUP BY token), s AS (
+    SELECT doc_id, pos AS t, ln(1 + freq) AS value FROM tok JOIN vocab USING (token)
+    UNION ALL SELECT doc_id, 0, 0.0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM tok)) {_DIGEST_SQL}""",
+)
 def stemmed_frequency_sequence(spark, folder):
     docs = documents(spark, folder)
     return _digest(mp.TokenFrequencySequence().fit(docs).transform(docs))
 
 
-@register("stemmed_rank_sequence")
+@register(
+    "stemmed_rank_sequence",
+    f"""WITH {SQL_TREEBANK}, {sql_stemmed('treebank', 'tok', True)}, {SQL_VOCAB}, s AS (
+    SELECT doc_id, pos AS t, ln(1 + rank) AS value FROM tok JOIN ranks USING (token)
+    UNION ALL SELECT doc_id, 0, 0.0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM tok)) {_DIGEST_SQL}""",
+)
 def stemmed_rank_sequence(spark, folder):
     docs = documents(spark, folder)
     return _digest(mp.TokenRankSequence().fit(docs).transform(docs))
 
 
-@register("stemmed_rank_distribution")
+@register(
+    "stemmed_rank_distribution",
+    f"""WITH {SQL_WORDS.replace('word AS (', 'plain AS (', 1)}, {sql_stemmed('plain', 'word', False)},
+    top AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS t FROM (
+      SELECT token, count(*) AS freq FROM word GROUP BY token ORDER BY freq DESC, token LIMIT 1000)),
+    c AS (SELECT doc_id, t, count(*) AS n FROM word JOIN top USING (token) GROUP BY 1, 2),
+    s AS (SELECT d.doc_id, top.t, coalesce(n, 0) AS value FROM documents d CROSS JOIN top
+      LEFT JOIN c ON c.doc_id = d.doc_id AND c.t = top.t) {_DIGEST_SQL}""",
+)
 def stemmed_rank_distribution(spark, folder):
     docs = documents(spark, folder)
     return _digest(mp.TokenRankDistribution().fit(docs).transform(docs))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textpulse.functions import text as tx
+from textpulse.functions.stemmer import stem_sql
 from textpulse.functions.stop_words import ENGLISH
 from textpulse.operators import tokens as tk
 from textpulse.operators import vocab as vc
@@ -19,6 +20,7 @@ from textpulse.queries.registry import (
     sql_r6,
     table,
     treebank_sql,
+    sql_stemmed,
 )
 from textpulse.session import scratch_path
 from textpulse.sources.tables import read_labelled_csv, spread, write_labelled_csv
@@ -115,12 +117,16 @@ def lower_stems(spark, folder):
     return _shape(tk.stemmed(tk.tokens(documents(spark, folder), tx.word_marks), "lower"))
 
 
-@register("porter_stems_with_case")
+@register("porter_stems_with_case", f"WITH {SQL_TOKENS}, {sql_stemmed('tok', 'st', True)} " + _shape_sql("st"))
 def porter_stems_with_case(spark, folder):
     return _shape(tk.stemmed(tk.tokens(documents(spark, folder), tx.word_marks), "porter_case"))
 
 
-@register("porter_stem_vocabulary")
+@register(
+    "porter_stem_vocabulary",
+    f"""WITH {SQL_WORDS}, v AS (SELECT token, {stem_sql('token')} AS stem FROM (SELECT DISTINCT token FROM word))
+    SELECT stem, count(*) AS n_words, min(token) AS first_word FROM v GROUP BY stem""",
+)
 def porter_stem_vocabulary(spark, folder):
     words = tk.tokens(documents(spark, folder), tx.words).select("token").distinct()
     return tk.stem_of(words, "porter").groupBy("stem").agg(
