@@ -6,15 +6,17 @@ compatible when merging their joined text gives back just these two. An automato
 the prefixes holds the last tokens, and the ids are read from it backwards. Each position costs a few look-ups,
 however long the text is.
 
-No piece goes on past a space or a line break, so a text is encoded word by word and equal words are encoded once
-per task. That is checked against the vocabulary; with other vocabularies whole texts are encoded at once.
+No piece goes on past a space or a line break, or from a letter to punctuation, so a text is encoded word by word
+and equal words are encoded once. That is checked against the vocabulary; with other vocabularies words are longer,
+or whole texts are encoded at once.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -30,7 +32,11 @@ from textpulse.llm.words import WordCache, id_lists, runs
 
 SPACE = "▁"  # stands for a space in pieces
 _PAIRS = 500_000  # remembered compatibility tests of a task
-_WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
+_PLAIN_WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
+_PUNCTUATION = r"!-/:-@\[-`{-~"
+#: As above, and cut between a letter and ASCII punctuation after it.
+_REST = rf"[^\W\d_]*(?:(?:[\d]|[^\w \n{_PUNCTUATION}])(?:[^\w \n]|[\d_])*[^\W\d_]*)*"
+_WORD = re.compile(rf"\n| +(?:[^\w \n]|[\d_])*{_REST}|(?:[^\w \n]|[\d_])+{_REST}|[^\W\d_]{_REST}")
 
 
 class PieceModel:
@@ -42,6 +48,8 @@ class PieceModel:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.silent = {i for i in range(len(self.pieces)) if model.is_control(i)}
+        self.text = {i: p.replace(SPACE, " ") for i, p in enumerate(self.pieces) if not model.is_byte(i)}
+        self.text |= {i: "" for i in self.silent} | {model.unk_id(): " ⁇ "}
         plain = [i for i in range(len(self.pieces)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
         self.score = {self.pieces[i]: model.get_score(i) for i in plain}
         self.id = {self.pieces[i]: i for i in plain}
@@ -51,6 +59,7 @@ class PieceModel:
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.by_word = not any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.id)
+        self.word = _PLAIN_WORD if any(re.search(rf"[^\W\d_][{_PUNCTUATION}]", p) for p in self.id) else _WORD
         self._compatible: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -81,17 +90,20 @@ class PieceModel:
     def encode_marked(self, text: str) -> list[int]:
         """Ids of a text in which spaces are marked."""
         n = len(text)
-        matches: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(text):
-            matches[end].append(found)
-        last, begin = [-1] * (n + 1), [0] * (n + 1)  # last token of each prefix, and where it begins
-        for end in range(1, n + 1):
-            for token, length in matches[end - 1]:
-                if self.compatible(last[end - length], token):
-                    last[end], begin[end] = token, end - length
-                    break
-            else:  # a character outside the vocabulary joins with nothing
-                last[end], begin[end] = -1, end - 1
+        last = [-1] * (n + 1)  # last token of each prefix; -1: none, as its last character is outside the vocabulary
+        begin = list(range(-1, n))  # where that token begins
+        known, size, compatible = self._compatible.get, len(self.pieces), self.compatible
+        for at, (token, length) in self.automaton.iter(text):  # by end, the longest match first
+            end = at + 1
+            if last[end] >= 0:
+                continue
+            left = last[end - length]
+            fits = known(left * size + token)
+            if fits is None:
+                fits = compatible(left, token)
+            if fits:
+                last[end] = token
+                begin[end] = end - length
         ids: list[int] = []
         end = n
         while end:
@@ -108,13 +120,17 @@ class PieceModel:
         if not text:
             return []
         text = " " + text.replace(SPACE, " ")
-        return _WORD.findall(text) if self.by_word else [text]
+        return self.word.findall(text) if self.by_word else [text]
 
     def encode_word(self, word: str) -> list[int]:
         return self.encode_marked(word.replace(" ", SPACE))
 
-    def decode_raw(self, ids: list[int]) -> str:
+    def decode_raw(self, ids: Sequence[int]) -> str:
         """Text of ids with the space put before it; broken byte runs become replacement characters."""
+        try:
+            return "".join([self.text[i] for i in ids])
+        except KeyError:  # bytes among them
+            pass
         out: list[str] = []
         raw = bytearray()
         for i in ids:
@@ -125,10 +141,7 @@ class PieceModel:
             if raw:
                 out.append(_utf8(raw))
                 raw = bytearray()
-            if i == self.unknown:
-                out.append(" ⁇ ")
-            elif i not in self.silent:
-                out.append(self.pieces[i].replace(SPACE, " "))
+            out.append(self.text[i])
         if raw:
             out.append(_utf8(raw))
         return "".join(out)
@@ -170,7 +183,7 @@ def piece_model(path: str) -> PieceModel:
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> WordCache:
     model = piece_model(path)
-    return WordCache(lambda words: [np.array(model.encode_word(w), dtype="<i4").tobytes() for w in words])
+    return WordCache(lambda words: [array("i", model.encode_word(w)).tobytes() for w in words])
 
 
 def with_ids(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -203,7 +216,7 @@ def with_text(docs: DataFrame, model_path: str, ids: str = "ids", text: str = "d
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path)
         starts = np.array([p.startswith(SPACE) for p in model.pieces])
-        cache = WordCache(lambda keys: [model.decode_raw(np.frombuffer(k, dtype="<i4").tolist()) for k in keys])
+        cache = WordCache(lambda keys: [model.decode_raw(memoryview(k).cast("i")) for k in keys])
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             for i in range(0, batch.num_rows, 256):

@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Distinct words a task remembers; when full, it starts afresh.
-CACHE_WORDS = 300_000
+#: Distinct words that a Python worker remembers.
+CACHE_WORDS = 400_000
 #: Texts are handled in runs of about this many characters, so that output batches stay small.
-RUN_CHARS = 4_000_000
+RUN_CHARS = 1_000_000
 
 
 def runs(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -36,15 +36,22 @@ def id_lists(parts: list[bytes]) -> pa.ListArray:
 
 
 class WordCache(dict):
-    """word -> value, filled for many words at a time."""
+    """word -> value, filled for many words at a time.
+
+    At half the limit the words so far become the old ones, of which those that come again are taken over.
+    """
 
     def __init__(self, make: Callable[[list[str]], list], limit: int = CACHE_WORDS):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def fill(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.limit:
+        new = words.difference(self)
+        if len(self) + len(new) > self.limit // 2:
+            self.old = dict(self)
             self.clear()
-            new = list(words)
-        self.update(zip(new, self.make(new), strict=True))
+            new = words
+        again = {w: self.old[w] for w in new if w in self.old}
+        self.update(again)
+        unseen = list(new.difference(again))
+        self.update(zip(unseen, self.make(unseen), strict=True))
