@@ -48,7 +48,7 @@ def interleave(
 ) -> DataFrame:
     """Add ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 within the shard).
 
-    Shard sizes differ by at most one row, and a shard has of each source its share of the whole, up to one row.
+    Shard sizes differ by at most one row, and a shard's share of each source is within one row of its share of the whole.
     Null keys and sources count as values of their own, repeated rows each get a slot, an empty table stays empty.
     Input columns named ``shard`` or ``slot`` are replaced; names that begin with an underscore are kept for use here.
     """
