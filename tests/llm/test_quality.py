@@ -180,11 +180,13 @@ def test_token_files_are_the_library_s(spark, texts):
         want = (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
         assert tuple(rows[i][c] for c in ("start", "n_tokens", "ids_crc32")) == want
         start += len(ids)
-    encoder, chance = token_files.PartEncoder(path), random.Random(3)
-    for _ in range(4000):
-        text = "".join(chance.choices("ab5²½é '\n\t.,!_-  sstll日𝄞́\xa0", k=chance.randint(0, 25)))
-        got = b"".join(encoder._encode(encoder.parts(text)))
-        assert np.frombuffer(got, dtype="<i4").tolist() == library.encode(text, add_special_tokens=False).ids
+    encoder, chance = token_files.PartEncoder(path, 2), random.Random(3)
+    encoder.table.limit = 900  # so that it starts afresh at times
+    for _ in range(80):
+        some = ["".join(chance.choices("ab5²½é '\n\t.,!_-  sstll日𝄞́\xa0", k=chance.randint(0, 25))) for _ in range(50)]
+        some += chance.sample(["<|endoftext|>", "x \ue00fy", "", " "], chance.randint(0, 4))
+        want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in some]
+        assert encoder.lists(some).to_pylist() == want
 
 
 def test_language_on_held_out_documents(spark):
