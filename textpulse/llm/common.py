@@ -51,7 +51,7 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_file`` and ``_row``, which say where each row is stored.
+    """``docs`` with ``_tp_file`` and ``_tp_row``, which say where each row is stored.
 
     A frame that does not come straight from files is written to the shared folder first.
     """
@@ -61,20 +61,20 @@ def located(docs: DataFrame) -> DataFrame:
         if "row_index" not in str(e) and "_metadata" not in str(e):
             raise
         docs = written(docs, "located")
-    return docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    return docs.withColumns({"_tp_file": F.col("_metadata.file_path"), "_tp_row": F.col("_metadata.row_index")})
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_uid``, a number of each stored row that stays the same from scan to scan.
+    """``docs`` with ``_tp_uid``, a number of each stored row that stays the same from scan to scan.
 
     It is made of the number of the row's file, in order of the paths, and the row's place in it.
     """
     rows = located(docs)
-    files = rows.select("_file").distinct()
-    order = Window.orderBy("_file")  # one row a file
-    files = written(files.select("_file", (F.row_number().over(order) - 1).cast("long").alias("_number")), "files")
-    uid = F.shiftleft("_number", 40).bitwiseOR(F.col("_row"))
-    return rows.join(small(files), "_file").withColumn("_uid", uid).drop("_file", "_row", "_number")
+    files = rows.select("_tp_file").distinct()
+    order = Window.orderBy("_tp_file")  # one row a file
+    files = written(files.select("_tp_file", (F.row_number().over(order) - 1).cast("long").alias("_number")), "files")
+    uid = F.shiftleft("_number", 40).bitwiseOR(F.col("_tp_row"))
+    return rows.join(small(files), "_tp_file").withColumn("_tp_uid", uid).drop("_tp_file", "_tp_row", "_number")
 
 
 def whole_text(column: str = "text"):

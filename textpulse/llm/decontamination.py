@@ -109,7 +109,7 @@ def benchmark_windows(items: DataFrame, key: str, text: str) -> DataFrame:
 def contaminated(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """One row per document and item found in it: ``_file, _row, key, item, coverage, slots, changed``.
+    """One row per document and item found in it: ``_tp_file, _tp_row, key, item, coverage, slots, changed``.
 
     ``coverage``: share of the item's windows; ``slots``: distinct slot values of the item in the consistent
     occurrences; ``changed``: those with another value in the document (0 for a plain copy). Null texts are empty and
@@ -118,21 +118,21 @@ def contaminated(
     """
     theirs = written(benchmark_windows(items, item_key, item_text), "item-windows")
     sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect())  # at most WINDOW - SHORTEST + 1
-    rows = located(docs).select("_file", "_row", F.col(key).alias("key"), marked(whole_text(text)).alias("_marked"))
-    texts = rows.select("_file", "_row", "key", tokens(F.col("_marked")).alias("raw"), template(F.col("_marked")).alias("parts"))
+    rows = located(docs).select("_tp_file", "_tp_row", F.col(key).alias("key"), marked(whole_text(text)).alias("_marked"))
+    texts = rows.select("_tp_file", "_tp_row", "key", tokens(F.col("_marked")).alias("raw"), template(F.col("_marked")).alias("parts"))
     index = theirs.select("item", F.col("at").alias("place"), "size", "hash", "theirs", "total")
     found = None
     for size in sizes or [WINDOW]:
-        mine = _windows(texts, size, "_file", "_row", "key")
+        mine = _windows(texts, size, "_tp_file", "_tp_row", "key")
         some = mine.join(small(index.filter(F.col("size") == size), BENCHMARK_WINDOWS), "hash").select(
-            "_file", "_row", "key", "item", "size", "place", "total", (F.col("at") - F.col("place")).alias("diagonal"), "theirs",
+            "_tp_file", "_tp_row", "key", "item", "size", "place", "total", (F.col("at") - F.col("place")).alias("diagonal"), "theirs",
             F.slice("raw", F.col("at") + 1, size).alias("ours"),
         )
         found = some if found is None else found.unionByName(some)
 
     pairs = F.filter(F.arrays_zip("theirs", "ours"), lambda p: _is_slot(p["theirs"]))
     found = found.withColumn("pairs", pairs).drop("theirs", "ours")
-    doc = ["_file", "_row", "key", "item"]
+    doc = ["_tp_file", "_tp_row", "key", "item"]
     occurrences = found.groupBy(*doc, "total", "diagonal").agg(
         F.collect_set(F.struct("size", "place")).alias("places"),  # bounded by the item
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
@@ -155,9 +155,9 @@ def contaminated(
 def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns."""
     rows = located(docs)
-    found = contaminated(rows.drop("_file", "_row"), items, key, text)
-    drops = written(found.select("_file", "_row").distinct(), "contaminated")
-    return rows.join(small(drops, 300_000), ["_file", "_row"], "left_anti").drop("_file", "_row")
+    found = contaminated(rows.drop("_tp_file", "_tp_row"), items, key, text)
+    drops = written(found.select("_tp_file", "_tp_row").distinct(), "contaminated")
+    return rows.join(small(drops, 300_000), ["_tp_file", "_tp_row"], "left_anti").drop("_tp_file", "_tp_row")
 
 
 def _sql() -> str:

@@ -79,14 +79,14 @@ def exact_groups(
     digest: Callable[[Column], Column] = sha256,
     bytes_per_batch: str | None = None,
 ) -> DataFrame:
-    """One row per document: ``_file, _row, _key, digest, keep, size, kept``.
+    """One row per document: ``_tp_file, _tp_row, _key, digest, keep, size, kept``.
 
     ``keep`` is the key of the row that stays: the smallest key of the rows with equal normalised texts (null keys
     last; among repeated keys the first stored row). Null texts equal empty ones. Exactly one row of a group is
     ``kept``. Other columns are not read, an empty table gives no rows.
     """
     rows = located(docs)
-    rank = F.struct(F.col(key).isNull().alias("absent"), F.col(key).alias("key"), F.col("_file"), F.col("_row"))
+    rank = F.struct(F.col(key).isNull().alias("absent"), F.col(key).alias("key"), F.col("_tp_file"), F.col("_tp_row"))
     arriving = rows.select(digest(normalised(text)).alias("digest"), rank.alias("rank"))
     path = stored(arriving, "arrivals")
     arrivals = docs.sparkSession.read.schema(arriving.schema).parquet(path)
@@ -117,8 +117,8 @@ def exact_groups(
         )
         decided = decided.join(clashes, "digest", "left_anti").unionByName(apart)
     return decided.select(
-        F.col("rank._file").alias("_file"),
-        F.col("rank._row").alias("_row"),
+        F.col("rank._tp_file").alias("_tp_file"),
+        F.col("rank._tp_row").alias("_tp_row"),
         F.col("rank.key").alias("_key"),
         "digest",
         F.col("first.key").alias("keep"),
@@ -130,8 +130,8 @@ def exact_groups(
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     rows = located(docs)
-    drops = written(exact_groups(rows.drop("_file", "_row"), key, text).filter(~F.col("kept")).select("_file", "_row"), "drops")
-    return rows.join(small(drops), ["_file", "_row"], "left_anti").drop("_file", "_row")
+    drops = written(exact_groups(rows.drop("_tp_file", "_tp_row"), key, text).filter(~F.col("kept")).select("_tp_file", "_tp_row"), "drops")
+    return rows.join(small(drops), ["_tp_file", "_tp_row"], "left_anti").drop("_tp_file", "_tp_row")
 
 
 _SQL = r"""

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpulse.llm.common import read, register
+from textpulse.llm.common import read, register, written
 
 #: Fixed values: (rule, verdict). A rule is host and path prefix; the longest that fits wins.
 RULES = (
@@ -131,7 +131,7 @@ def judge_urls(
     judged alike, columns of these names are replaced, an empty table stays empty.
     """
     counts = outcomes.filter("good is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
-    known = reputation(counts, z)
+    known = reputation(written(counts, "url-outcomes"), z)
     pages = pages.drop("host", "path", "rule", "bound", "verdict")
     split = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
 
