@@ -28,20 +28,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` for every node that has an edge to another one; ``root`` is the least node of its component.
 
-    Rounds go on until the edges no longer change; each is stored, so that plans stay short and lost executors cost
+    Rounds go on until the edges are stars around their least node; each is stored, so that plans stay short and lost executors cost
     one round at most. Direction, order and repetition of edges do not matter; null ends and loops are left out. An
     empty table has no components.
     """
     edges = edges.filter(F.col(a) != F.col(b))
-    now = written(
-        edges.select(F.greatest(a, b).alias("child"), F.least(a, b).alias("root")).distinct(), "edges"
-    )
-    seen = None
+    now = edges.select(F.greatest(a, b).alias("child"), F.least(a, b).alias("root"))
     while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("child", "root").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
+        now = written(_small_star(_large_star(now)).filter("child <> root").distinct(), "edges")
+        if _only_stars(now):
             return now.select(F.col("child").alias("node"), "root").unionByName(
                 now.select(F.col("root").alias("node"), "root").distinct()
             )
-        seen = mark
-        now = written(_small_star(_large_star(now).distinct()).filter("child <> root").distinct(), "edges")
+
+
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every child has one root, and no root is a child."""
+    ends = edges.select(F.col("child").alias("node"), F.lit(1).alias("up")).unionByName(
+        edges.select(F.col("root").alias("node"), F.lit(0).alias("up"))
+    )
+    ups = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count(F.lit(1)).alias("n"))
+    return ups.filter("ups > 1 or (ups = 1 and n > 1)").isEmpty()

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpulse.llm.common import located, read, register, small, written
@@ -37,8 +37,8 @@ _PLACES = 32
 #: Agreement with the middle from which a node joins its cluster, and up to which it goes on branching as well.
 _NEAR, _APART = 0.4, 0.7
 _DEPTH = 12
-#: Shingles of a block of a cluster that is compared at once; a longer document is a block of its own.
-BLOCK = 400_000
+#: Shingles, and documents, of a block of a cluster that is compared at once; a longer document is a block of its own.
+BLOCK, MEMBERS = 400_000, 2000
 
 
 def trees_for(similarity: float, recall: float) -> int:
@@ -47,9 +47,9 @@ def trees_for(similarity: float, recall: float) -> int:
 
 
 def shingled(docs: DataFrame, key: str, text: str, trees: int) -> DataFrame:
-    """``uid, key, _file, _row, n, digest, roots, sig`` of every document, stored. ``n`` is 0 without words."""
-    rows = located(docs).select(F.col(key).alias("key"), F.col(text).alias("text"), "_file", "_row")
-    schema = f"key {docs.schema[key].dataType.simpleString()}, _file string, _row bigint, n bigint, digest binary, roots array<bigint>, sig binary"
+    """``uid, key, _tp_file, _tp_row, n, digest, roots, sig`` of every document, stored. ``n`` is 0 without words."""
+    rows = located(docs).select(F.col(key).alias("key"), F.col(text).alias("text"), "_tp_file", "_tp_row")
+    schema = f"key {docs.schema[key].dataType.simpleString()}, _tp_file string, _tp_row bigint, n bigint, digest binary, roots array<bigint>, sig binary"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in runs(batches, "text"):
@@ -61,9 +61,9 @@ def shingled(docs: DataFrame, key: str, text: str, trees: int) -> DataFrame:
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 roots.append(values[:trees].tolist())
                 sig.append(values.astype(np.uint8).tobytes())
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "_file", "_row")]
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "_tp_file", "_tp_row")]
             added = [pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(roots, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*kept, *added], names=["key", "_file", "_row", "n", "digest", "roots", "sig"])
+            yield pa.RecordBatch.from_arrays([*kept, *added], names=["key", "_tp_file", "_tp_row", "n", "digest", "roots", "sig"])
 
     return written(rows.mapInArrow(build, schema).withColumn("uid", F.monotonically_increasing_id()), "shingled")
 
@@ -86,13 +86,12 @@ def _stars(adjacent: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _small_buckets(entries: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Candidate edges ``a, b`` of buckets (``bucket, node``) that have 2 to BUCKET members each.
+def _small_buckets(members: DataFrame, similarity: float) -> DataFrame:
+    """Candidate edges ``a, b`` of buckets (``bucket, node, n, sig``) that have 2 to BUCKET members each.
 
     Members are compared by signatures, with a margin of five standard errors, and by sizes.
     """
     least = similarity - 5 * math.sqrt(similarity * (1 - similarity) / TOKENS)
-    members = entries.join(nodes.select("node", "n", "sig"), "node")
     groups = members.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "n", "sig"))).alias("m"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,30 +113,20 @@ def _small_buckets(entries: DataFrame, nodes: DataFrame, similarity: float) -> D
     return groups.select("m").mapInArrow(compare, "a bigint, b bigint")
 
 
-def _places(seed: int) -> list[int]:
-    return sorted(int(i) for i in np.random.default_rng(seed).permutation(TOKENS)[:_PLACES])
+_PLACED = sorted(int(i) for i in np.random.default_rng(5).permutation(TOKENS)[:_PLACES])
 
 
-def _byte(column: str, place) -> F.Column:
-    return F.conv(F.hex(F.substring(column, place, 1)), 16, 10).cast("int")
+def _at(place: int) -> Column:
+    return F.hex(F.substring("sig", place + 1, 1))
 
 
-def middles(members: DataFrame, group: str) -> DataFrame:
-    """``group, middle``: the commonest signature byte at each chosen place among a group's members (``sig``)."""
-    places = F.array(*[F.lit(p + 1) for p in _places(5)])
-    cells = members.select(group, "sig", F.explode(places).alias("place")).select(
-        group, "place", F.expr("substring(sig, place, 1)").alias("byte")
-    )
-    counts = cells.groupBy(group, "place", "byte").agg(F.count(F.lit(1)).alias("c"))
-    best = counts.groupBy(group, "place").agg(F.max(F.struct("c", "byte")).alias("top"))
-    ordered = F.sort_array(F.collect_list(F.struct("place", "top.byte")))  # one per place
-    return best.groupBy(group).agg(F.transform(ordered, lambda x: x["byte"]).alias("middle"))
-
-
-def _agreement() -> F.Column:
-    """Share of the chosen places at which ``sig`` has the byte of ``middle``."""
-    same = [F.when(F.substring("sig", p + 1, 1) == F.element_at("middle", i + 1), 1).otherwise(0) for i, p in enumerate(_places(5))]
-    return sum(same[1:], same[0]) / _PLACES
+def with_nearness(members: DataFrame, group: str) -> DataFrame:
+    """Add ``near``: the share of chosen signature places at which a row has its group's commonest token."""
+    commonest = [F.mode(_at(p), deterministic=True).alias(f"_m{p}") for p in _PLACED]
+    middle = members.groupBy(group).agg(*commonest)  # counts of at most 256 tokens a place
+    same = [F.when(_at(p) == F.col(f"_m{p}"), 1).otherwise(0) for p in _PLACED]
+    joined = members.join(middle, group).withColumn("near", sum(same[1:], same[0]) / _PLACES)
+    return joined.drop(*(f"_m{p}" for p in _PLACED))
 
 
 def candidates(nodes: DataFrame, similarity: float, trees: int) -> DataFrame:
@@ -146,34 +135,34 @@ def candidates(nodes: DataFrame, similarity: float, trees: int) -> DataFrame:
     entries = roots.select(F.xxhash64("tree", "token").alias("bucket"), "tree", "node")
     found = []
     for depth in range(_DEPTH + 1):
-        entries = written(entries, "buckets")
         sizes = written(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "bucket-sizes")
-        few = sizes.filter(F.col("c") <= BUCKET).select("bucket")
-        many = sizes.filter(F.col("c") > BUCKET).select("bucket")
-        found.append(written(_small_buckets(entries.join(few, "bucket").select("bucket", "node"), nodes, similarity), "candidates"))
-        if many.isEmpty():
+        members = entries.join(sizes, "bucket")
+        if not depth:
+            members = members.join(nodes.select("node", "n", "sig"), "node")
+        members = written(members, "buckets")
+        found.append(_small_buckets(members.filter(F.col("c") <= BUCKET), similarity))
+        large = members.filter(F.col("c") > BUCKET).drop("c")
+        if large.isEmpty():
             break
-        members = entries.join(small(many), "bucket").join(nodes.select("node", "sig"), "node")
-        placed = members.join(middles(members, "bucket"), "bucket").withColumn("near", _agreement())
-        placed = written(placed.drop("middle"), "large-buckets")
+        placed = written(with_nearness(large, "bucket"), "large-buckets")
         cluster = placed if depth == _DEPTH else placed.filter(F.col("near") >= _NEAR)
         heads = cluster.groupBy("bucket").agg(F.min("node").alias("a"))
-        found.append(written(cluster.join(heads, "bucket").filter("a <> node").select("a", F.col("node").alias("b")), "candidates"))
+        found.append(cluster.join(heads, "bucket").filter("a <> node").select("a", F.col("node").alias("b")))
         # Branch: each remaining node follows two tokens, chosen anew for each tree and depth.
-        pick = lambda i: F.pmod(F.xxhash64("tree", F.lit(depth), F.lit(i)), F.lit(TOKENS - trees)) + F.lit(trees + 1)
-        steps = placed.filter(F.col("near") < _APART).withColumn("place", F.explode(F.array(pick(0).cast("int"), pick(1).cast("int"))))
+        pick = lambda i: (F.pmod(F.xxhash64("tree", F.lit(depth), F.lit(i)), F.lit(TOKENS - trees)) + F.lit(trees + 1)).cast("int")
+        steps = placed.filter(F.col("near") < _APART).withColumn("place", F.explode(F.array(pick(0), pick(1))))
         token = F.expr("substring(sig, place, 1)")
-        entries = steps.select(F.xxhash64("bucket", "place", token).alias("bucket"), "tree", "node")
+        entries = steps.select(F.xxhash64("bucket", "place", token).alias("bucket"), "tree", "node", "n", "sig")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    return written(out, "candidates")
 
 
 def _sets(docs: DataFrame, members: DataFrame, text: str) -> DataFrame:
-    """``members`` (with ``_file, _row``) with ``shingles``, the full set of each, made from its whole text again."""
-    rows = located(docs).select(F.col(text).alias("text"), "_file", "_row").join(small(members, 300_000), ["_file", "_row"])
-    rows = rows.drop("_file", "_row")
+    """``members`` (with ``_tp_file, _tp_row``) with ``shingles``, the full set of each, made from its whole text again."""
+    rows = located(docs).select(F.col(text).alias("text"), "_tp_file", "_tp_row").join(small(members, 300_000), ["_tp_file", "_tp_row"])
+    rows = rows.drop("_tp_file", "_tp_row")
     names = [c for c in rows.columns if c != "text"]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
 
@@ -246,9 +235,10 @@ def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, clusters: DataFrame, text: str, percent: int) -> DataFrame:
-    """Links ``a, b`` confirmed on full sets, enough to connect all that are linked. ``clusters``: cluster, node, n, sig, _file, _row."""
+    """Links ``a, b`` confirmed on full sets, enough to connect all that are linked. ``clusters``: cluster, node, n, sig, _tp_file, _tp_row."""
     weights = clusters.groupBy("cluster").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("members"))
-    weights = written(weights.select("cluster", F.ceil(F.col("w") / BLOCK).alias("parts")), "cluster-sizes")
+    parts = F.greatest(F.ceil(F.col("w") / BLOCK), F.ceil(F.col("members") / MEMBERS))
+    weights = written(weights.select("cluster", parts.alias("parts")), "cluster-sizes")
     placed = clusters.join(weights, "cluster")
     sets = written(_sets(docs, placed, text), "sets")
     listed = F.sort_array(F.collect_list(F.struct("side", "node", "shingles")))
@@ -259,7 +249,7 @@ def confirmed(docs: DataFrame, clusters: DataFrame, text: str, percent: int) ->
     many = sets.filter("parts > 1")
     if not many.isEmpty():
         # The member nearest to the middle is compared with all first.
-        near = many.join(middles(many, "cluster"), "cluster").withColumn("near", _agreement())
+        near = with_nearness(many, "cluster")
         heads = near.groupBy("cluster").agg(F.max(F.struct("near", -F.col("node"))).alias("h"))
         heads = heads.select("cluster", (-F.col("h.col2")).alias("head"))
         head_sets = many.join(heads, "cluster").filter("node = head").select("cluster", "head", F.col("shingles").alias("theirs"))
@@ -294,7 +284,7 @@ def confirmed(docs: DataFrame, clusters: DataFrame, text: str, percent: int) ->
 def near_groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, recall: float = 0.999999
 ) -> DataFrame:
-    """One row per document: ``_file, _row, key, n_shingles, component, kept``.
+    """One row per document: ``_tp_file, _tp_row, key, n_shingles, component, kept``.
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets; ``component`` is the
     least key reachable over links. Null and empty texts, and texts of white space, have no shingles and are linked
@@ -304,34 +294,35 @@ def near_groups(
     """
     similarity = percent / 100
     trees = trees_for(similarity, recall)
+    docs = located(docs).drop("_tp_file", "_tp_row")  # stored rows, which are found again by their places
     table = shingled(docs, key, text, trees)
     some = table.filter("n > 0")
     firsts = written(some.groupBy("digest").agg(F.min("uid").alias("node")), "distinct-sets")
     nodes = written(
-        some.join(firsts.select(F.col("node").alias("uid")), "uid").select(F.col("uid").alias("node"), "n", "roots", "sig", "_file", "_row"), "nodes"
+        some.join(firsts.select(F.col("node").alias("uid")), "uid").select(F.col("uid").alias("node"), "n", "roots", "sig", "_tp_file", "_tp_row"), "nodes"
     )
     near = components(candidates(nodes, similarity, trees))
-    clusters = written(nodes.join(near, "node").select(F.col("root").alias("cluster"), "node", "n", "sig", "_file", "_row"), "clusters")
+    clusters = written(nodes.join(near, "node").select(F.col("root").alias("cluster"), "node", "n", "sig", "_tp_file", "_tp_row"), "clusters")
     linked = components(confirmed(docs, clusters, text, percent))
 
-    narrow = table.select("uid", "key", "_file", "_row", "n", "digest")
+    narrow = table.select("uid", "key", "_tp_file", "_tp_row", "n", "digest")
     whole = narrow.join(firsts.withColumnRenamed("node", "first"), "digest", "left")
     node = F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("uid"))
     whole = whole.withColumn("node", node).join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    whole = written(whole.select("uid", "key", "_file", "_row", "n", "root"), "labelled")
+    whole = written(whole.select("uid", "key", "_tp_file", "_tp_row", "n", "root"), "labelled")
     rank = F.struct(F.col("key").isNull().alias("absent"), "key", "uid")
     least = whole.groupBy("root").agg(F.min(rank).alias("least"))
     return whole.join(least, "root").select(
-        "_file", "_row", "key", F.col("n").alias("n_shingles"), F.col("least.key").alias("component"), (F.col("uid") == F.col("least.uid")).alias("kept")
+        "_tp_file", "_tp_row", "key", F.col("n").alias("n_shingles"), F.col("least.key").alias("component"), (F.col("uid") == F.col("least.uid")).alias("kept")
     )
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: the first of every component."""
     rows = located(docs)
-    groups = near_groups(rows.drop("_file", "_row"), key, text, percent)
-    drops = written(groups.filter(~F.col("kept")).select("_file", "_row"), "near-drops")
-    return rows.join(small(drops, 300_000), ["_file", "_row"], "left_anti").drop("_file", "_row")
+    groups = near_groups(rows.drop("_tp_file", "_tp_row"), key, text, percent)
+    drops = written(groups.filter(~F.col("kept")).select("_tp_file", "_tp_row"), "near-drops")
+    return rows.join(small(drops, 300_000), ["_tp_file", "_tp_row"], "left_anti").drop("_tp_file", "_tp_row")
 
 
 @register("op10_chosen_path_minhash")
