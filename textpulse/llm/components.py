@@ -33,7 +33,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     empty table has no components.
     """
     edges = edges.filter(F.col(a) != F.col(b))
-    now = edges.select(F.greatest(a, b).alias("child"), F.least(a, b).alias("root"))
+    # Stored first: a round reads its edges more than once.
+    now = written(edges.select(F.greatest(a, b).alias("child"), F.least(a, b).alias("root")), "edges")
     while True:
         now = written(_small_star(_large_star(now)).filter("child <> root").distinct(), "edges")
         if _only_stars(now):

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -133,30 +134,28 @@ def candidates(nodes: DataFrame, similarity: float, trees: int) -> DataFrame:
     """Candidate edges ``a, b`` between nodes (``node, n, roots, sig``), so that similar nodes are connected."""
     roots = nodes.select("node", F.posexplode("roots").alias("tree", "token"))
     entries = roots.select(F.xxhash64("tree", "token").alias("bucket"), "tree", "node")
-    found = []
+    few, stars = [], []
     for depth in range(_DEPTH + 1):
         sizes = written(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "bucket-sizes")
         members = entries.join(sizes, "bucket")
         if not depth:
             members = members.join(nodes.select("node", "n", "sig"), "node")
         members = written(members, "buckets")
-        found.append(_small_buckets(members.filter(F.col("c") <= BUCKET), similarity))
+        few.append(members.filter(F.col("c") <= BUCKET).select("bucket", "node", "n", "sig"))
         large = members.filter(F.col("c") > BUCKET).drop("c")
         if large.isEmpty():
             break
         placed = written(with_nearness(large, "bucket"), "large-buckets")
         cluster = placed if depth == _DEPTH else placed.filter(F.col("near") >= _NEAR)
         heads = cluster.groupBy("bucket").agg(F.min("node").alias("a"))
-        found.append(cluster.join(heads, "bucket").filter("a <> node").select("a", F.col("node").alias("b")))
+        stars.append(cluster.join(heads, "bucket").filter("a <> node").select("a", F.col("node").alias("b")))
         # Branch: each remaining node follows two tokens, chosen anew for each tree and depth.
         pick = lambda i: (F.pmod(F.xxhash64("tree", F.lit(depth), F.lit(i)), F.lit(TOKENS - trees)) + F.lit(trees + 1)).cast("int")
         steps = placed.filter(F.col("near") < _APART).withColumn("place", F.explode(F.array(pick(0), pick(1))))
         token = F.expr("substring(sig, place, 1)")
         entries = steps.select(F.xxhash64("bucket", "place", token).alias("bucket"), "tree", "node", "n", "sig")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return written(out, "candidates")
+    out = _small_buckets(reduce(DataFrame.unionByName, few), similarity)
+    return reduce(DataFrame.unionByName, [out, *stars])
 
 
 def _sets(docs: DataFrame, members: DataFrame, text: str) -> DataFrame:
