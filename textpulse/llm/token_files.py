@@ -8,7 +8,6 @@ sizes, and page indexes let a reader fetch single documents, or counts without t
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from tokenizers import Tokenizer
 
 from textpulse.llm.common import read, register, small, whole_text
-from textpulse.llm.words import WordCache, id_lists, runs
+from textpulse.llm.part_table import BORDER, PartTable
+from textpulse.llm.words import runs
 from textpulse.session import scratch_path
 
 #: Write options. Dictionary for the ids, delta for the document id (whose values never repeat), sizes in bytes.
@@ -35,27 +35,52 @@ LAYOUT = {
     "parquet.page.row.count.limit": "1024",
     "maxRecordsPerFile": "1000000",
 }
-# A byte-level pre-tokenizer always begins a token at a space that a word character follows.
-_CUT = re.compile(r" (?=\w)")
+_PARTS_A_CALL = 1024
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> WordCache:
-    tokenizer = Tokenizer.from_file(path)
-
-    def encode(words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(words), 4096):
-            found = tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)
-            out.extend(np.array(e.ids, dtype="<i4").tobytes() for e in found)
+class PartEncoder:
+    """Ids of texts by way of their distinct parts, between which the pre-tokenizer always cuts.
+
+    The library gets many parts in one text, with a special token between them, which no part goes across; its id
+    marks where to cut. A text that holds a special token or the border sign itself is encoded alone.
+    """
+
+    def __init__(self, path: str, end_id: int):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.end = np.array([end_id], dtype=np.int32)
+        self.table = PartTable(self._encode, end_id)
+
+    def _alone(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
+
+    def _encode(self, parts: list[str]) -> list[np.ndarray]:
+        if not self.special:
+            return [self._alone(p) for p in parts]
+        out: list[np.ndarray] = []
+        mark = self.tokenizer.token_to_id(self.special[0])
+        for i in range(0, len(parts), _PARTS_A_CALL):
+            some = parts[i : i + _PARTS_A_CALL]
+            ids = self._alone(self.special[0].join(some))
+            at = np.flatnonzero(ids == mark)
+            begins, ends = [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]
+            out.extend(ids[a:b] for a, b in zip(begins, ends, strict=True))
         return out
 
-    return WordCache(encode)
+    def lists(self, texts: list[str]) -> pa.ListArray:
+        """Ids of each text with the end id."""
+        odd = [i for i, t in enumerate(texts) if BORDER in t or any(s in t for s in self.special)]
+        if odd:
+            plain = {i: [*self._alone(texts[i]), *self.end] for i in odd}
+            rest = self.lists(["" if i in plain else t for i, t in enumerate(texts)])
+            return pa.array([plain.get(i, r) for i, r in enumerate(rest.to_pylist())], pa.list_(pa.int32()))
+        values, ends = self.table.ids(texts)
+        return pa.ListArray.from_arrays(pa.array(np.append([0], ends), pa.int32()), pa.array(values, pa.int32()))
 
 
-def _parts(text: str) -> list[str]:
-    first, *rest = _CUT.split(text)
-    return [first, *(" " + r for r in rest)] if first or rest else []
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str, end_id: int) -> PartEncoder:
+    return PartEncoder(path, end_id)
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,12 +88,9 @@ def encoded(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text:
     schema = StructType([StructField(key, docs.schema[key].dataType), StructField("ids", ArrayType(IntegerType()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = _encoder(path), np.array([end_id], dtype="<i4").tobytes()
+        encoder = _encoder(path, end_id)
         for batch, texts in runs(batches, text):
-            split = [_parts(t) for t in texts]
-            cache.fill(set().union(*split))
-            lists = id_lists([b"".join(map(cache.__getitem__, parts)) + end for parts in split])
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), encoder.lists(texts)], names=[key, "ids"])
 
     return docs.select(key, text).mapInArrow(encode, schema)
 
