@@ -87,33 +87,44 @@ class PieceModel:
             self._compatible[key] = known
         return known
 
-    def encode_marked(self, text: str) -> list[int]:
-        """Ids of a text in which spaces are marked."""
-        n = len(text)
-        last = [-1] * (n + 1)  # last token of each prefix; -1: none, as its last character is outside the vocabulary
-        begin = list(range(-1, n))  # where that token begins
-        known, size, compatible = self._compatible.get, len(self.pieces), self.compatible
-        for at, (token, length) in self.automaton.iter(text):  # by end, the longest match first
-            end = at + 1
-            if last[end] >= 0:
-                continue
-            left = last[end - length]
-            fits = known(left * size + token)
-            if fits is None:
-                fits = compatible(left, token)
-            if fits:
-                last[end] = token
-                begin[end] = end - length
-        ids: list[int] = []
-        end = n
-        while end:
-            if last[end] >= 0:
-                ids.append(last[end])
-            else:
-                raw = text[begin[end] : end].encode()
-                ids.extend([self.bytes[b] for b in reversed(raw)] if self.bytes else [self.unknown])
-            end = begin[end]
-        return ids[::-1]
+    def encode_marked(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of texts in which spaces are marked. A text goes on with the table of the one before it, as far as both
+        begin alike; so give many in ascending order."""
+        known, size, compatible, matches = self._compatible.get, len(self.pieces), self.compatible, self.automaton.iter
+        before, last, begin = "", [-1], [-1]
+        for text in texts:
+            n, same = len(text), 0
+            for a, b in zip(before, text):
+                if a != b:
+                    break
+                same += 1
+            # Last token of each prefix, and where it begins; -1: none, as its last character is outside the vocabulary.
+            last[same + 1 :] = [-1] * (n - same)
+            begin[same + 1 :] = range(same, n)
+            for at, (token, length) in matches(text):  # by end, the longest match first
+                if at < same:
+                    continue
+                end = at + 1
+                if last[end] >= 0:
+                    continue
+                fits = known(last[end - length] * size + token)
+                if fits is None:
+                    fits = compatible(last[end - length], token)
+                if fits:
+                    last[end] = token
+                    begin[end] = end - length
+            before = text
+            ids: list[int] = []
+            end = n
+            while end:
+                if last[end] >= 0:
+                    ids.append(last[end])
+                else:
+                    raw = text[begin[end] : end].encode()
+                    ids.extend([self.bytes[b] for b in reversed(raw)] if self.bytes else [self.unknown])
+                end = begin[end]
+            ids.reverse()
+            yield ids
 
     def words(self, text: str) -> list[str]:
         """Parts of a text, the first with a space put before it, that are encoded on their own."""
@@ -122,8 +133,8 @@ class PieceModel:
         text = " " + text.replace(SPACE, " ")
         return self.word.findall(text) if self.by_word else [text]
 
-    def encode_word(self, word: str) -> list[int]:
-        return self.encode_marked(word.replace(" ", SPACE))
+    def encode_words(self, words: Iterable[str]) -> Iterator[list[int]]:
+        return self.encode_marked(w.replace(" ", SPACE) for w in words)
 
     def decode_raw(self, ids: Sequence[int]) -> str:
         """Text of ids with the space put before it; broken byte runs become replacement characters."""
@@ -147,7 +158,7 @@ class PieceModel:
         return "".join(out)
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in self.words(text) for i in self.encode_word(w)]
+        return [i for ids in self.encode_words(self.words(text)) for i in ids]
 
     def unspaced(self, ids: Iterable[int], text: str) -> str:
         """``text`` without the space put before it, if its first piece has one."""
@@ -183,7 +194,12 @@ def piece_model(path: str) -> PieceModel:
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> WordCache:
     model = piece_model(path)
-    return WordCache(lambda words: [array("i", model.encode_word(w)).tobytes() for w in words])
+
+    def encode(words: list[str]) -> list[bytes]:
+        words.sort()
+        return [array("i", ids).tobytes() for ids in model.encode_words(words)]
+
+    return WordCache(encode)
 
 
 def with_ids(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:

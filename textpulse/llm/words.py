@@ -36,7 +36,7 @@ def id_lists(parts: list[bytes]) -> pa.ListArray:
 
 
 class WordCache(dict):
-    """word -> value, filled for many words at a time.
+    """word -> value, filled for many words at a time by ``make``, which may sort the list that it is given.
 
     At half the limit the words so far become the old ones, of which those that come again are taken over.
     """
