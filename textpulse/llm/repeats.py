@@ -31,7 +31,7 @@ from textpulse.llm.words import runs
 #: Bytes of a string that counts as repeated, and of an anchor inside it.
 LENGTH, ANCHOR = 400, 200
 #: Most different pieces of one anchor that a task sorts together.
-TOGETHER = 2000
+TOGETHER = 16_000
 _ROWS = 8192  # pieces that are sorted in one go, groups of them kept whole
 
 
@@ -166,7 +166,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     )
     classes = written(classes, "piece-classes")
     often = classes.filter("times > 1").select("anchor", "digest")
-    whole = table.join(small(often), ["anchor", "digest"], "left_semi").select("uid", F.col("first").alias("begin"), (F.col("last") + LENGTH).alias("end"))
+    whole = table.join(small(often, 250_000), ["anchor", "digest"], "left_semi").select("uid", F.col("first").alias("begin"), (F.col("last") + LENGTH).alias("end"))
 
     anchors = classes.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("kinds"), F.sum(F.when(F.col("times") == 1, 1).otherwise(0)).alias("singles")
@@ -191,11 +191,11 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     other's strings; shorter texts stay whole. Columns of these names are replaced, all others are kept.
     """
     docs = numbered(docs.drop("n_bytes", "spans", "kept"))
-    rows = docs.select(F.col("_uid").alias("uid"), whole_text(text).alias("text"))
+    rows = docs.select(F.col("_tp_uid").alias("uid"), whole_text(text).alias("text"))
     spans = repeated_spans(rows).groupBy("uid").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))  # bounded by the text
-    spans = spans.withColumnRenamed("uid", "_uid")
-    joined = docs.join(small(written(spans, "repeated-spans"), 300_000), "_uid", "left")
-    fields = [f for f in joined.schema.fields if f.name not in ("_uid", "_spans")]
+    spans = spans.withColumnRenamed("uid", "_tp_uid")
+    joined = docs.join(small(written(spans, "repeated-spans"), 300_000), "_tp_uid", "left")
+    fields = [f for f in joined.schema.fields if f.name not in ("_tp_uid", "_spans")]
     kept_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
