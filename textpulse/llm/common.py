@@ -15,6 +15,8 @@ ORACLES: dict[str, str] = {}
 
 #: Most rows of a narrow table (ids, digests) that is broadcast; above it the join shuffles both sides.
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch of texts.
+TEXT_ROWS = 1000
 
 
 def register(name: str, sql: str | None = None):
@@ -50,6 +52,15 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the rows of an Arrow batch to TEXT_ROWS in its session, so that a batch of whole texts stays
+    small in the JVM and in Python. A lower setting is left as it is."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df
+
+
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_tp_file`` and ``_tp_row``, which say where each row is stored.
 

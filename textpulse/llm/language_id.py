@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from textpulse.llm.common import read, register
+from textpulse.llm.common import read, register, small_batches
 from textpulse.llm.words import runs
 
 UNKNOWN = "und"
@@ -144,7 +144,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
 
-    return docs.mapInArrow(judge, schema)
+    return small_batches(docs).mapInArrow(judge, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpulse.llm.common import located, read, register, small, written
+from textpulse.llm.common import located, read, register, small, small_batches, written
 from textpulse.llm.components import components
 from textpulse.llm.shingles import shingle_set, signature
 from textpulse.llm.words import runs
@@ -293,7 +293,7 @@ def near_groups(
     """
     similarity = percent / 100
     trees = trees_for(similarity, recall)
-    docs = located(docs).drop("_tp_file", "_tp_row")  # stored rows, which are found again by their places
+    docs = located(small_batches(docs)).drop("_tp_file", "_tp_row")  # stored rows, which are found again by their places
     table = shingled(docs, key, text, trees)
     some = table.filter("n > 0")
     firsts = written(some.groupBy("digest").agg(F.min("uid").alias("node")), "distinct-sets")

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from textpulse.llm.common import read, register
+from textpulse.llm.common import read, register, small_batches
 from textpulse.llm.words import WordCache, id_lists, runs
 
 SPACE = "▁"  # stands for a space in pieces
-_PAIRS = 500_000  # remembered compatibility tests of a task
+_PAIRS = 300_000  # remembered compatibility tests of a task
 _PLAIN_WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _PUNCTUATION = r"!-/:-@\[-`{-~"
 #: As above, and cut between a letter and ASCII punctuation after it.
@@ -213,12 +213,15 @@ def with_ids(docs: DataFrame, model_path: str, text: str = "text", ids: str = "i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = piece_model(model_path), _encoder(model_path)
-        for batch, texts in runs(batches, text):
-            split = [model.words(t) for t in texts]
-            cache.fill(set().union(*split))
-            yield _plus(batch, ids, id_lists([b"".join(map(cache.__getitem__, words)) for words in split]))
+        try:
+            for batch, texts in runs(batches, text):
+                split = [model.words(t) for t in texts]
+                cache.fill(set().union(*split))
+                yield _plus(batch, ids, id_lists([b"".join(map(cache.__getitem__, words)) for words in split]))
+        finally:  # a worker lives on through other stages, which need the memory
+            cache.forget()
 
-    return docs.mapInArrow(encode, schema)
+    return small_batches(docs).mapInArrow(encode, schema)
 
 
 def with_text(docs: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -243,7 +246,7 @@ def with_text(docs: DataFrame, model_path: str, ids: str = "ids", text: str = "d
                 out = [model.unspaced(map(int, row), "".join(map(cache.__getitem__, keys))) for row, keys in zip(rows, split, strict=True)]
                 yield _plus(batch.slice(i, 256), text, pa.array(out, type=pa.string()))
 
-    return docs.mapInArrow(decode, schema)
+    return small_batches(docs).mapInArrow(decode, schema)
 
 
 def _rows(column: pa.ListArray) -> Iterator[np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Distinct words that a Python worker remembers.
+#: Distinct words that a task remembers.
 CACHE_WORDS = 400_000
 #: Texts are handled in runs of about this many characters, so that output batches stay small.
 RUN_CHARS = 1_000_000
@@ -45,6 +45,10 @@ class WordCache(dict):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def fill(self, words: set[str]) -> None:
         new = words.difference(self)
         if len(self) + len(new) > self.limit // 2:
