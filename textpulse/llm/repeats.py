@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpulse.llm.common import numbered, read, register, small, whole_text, written
+from textpulse.llm.common import numbered, read, register, small, small_batches, whole_text, written
 from textpulse.llm.shingles import mixed, prefix_hashes, span_hashes
 from textpulse.llm.suffix_sort import repeated_windows
 from textpulse.llm.words import runs
@@ -32,7 +32,7 @@ from textpulse.llm.words import runs
 LENGTH, ANCHOR = 400, 200
 #: Most different pieces of one anchor that a task sorts together.
 TOGETHER = 16_000
-_ROWS = 8192  # pieces that are sorted in one go, groups of them kept whole
+_ROWS = 2048  # pieces that are sorted in one go, groups of them kept whole
 
 
 def pieces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -191,7 +191,7 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     other's strings; shorter texts stay whole. Columns of these names are replaced, all others are kept.
     """
     docs = numbered(docs.drop("n_bytes", "spans", "kept"))
-    rows = docs.select(F.col("_tp_uid").alias("uid"), whole_text(text).alias("text"))
+    rows = small_batches(docs).select(F.col("_tp_uid").alias("uid"), whole_text(text).alias("text"))
     spans = repeated_spans(rows).groupBy("uid").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))  # bounded by the text
     spans = spans.withColumnRenamed("uid", "_tp_uid")
     joined = docs.join(small(written(spans, "repeated-spans"), 300_000), "_tp_uid", "left")

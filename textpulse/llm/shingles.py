@@ -16,7 +16,6 @@ def _byte_values() -> np.ndarray:
     return np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@functools.lru_cache(maxsize=4)
 def _powers(room: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     base, inverse = np.full(room, _BASE), np.full(room, np.uint64(pow(int(_BASE), -1, 2**64)))
@@ -24,8 +23,14 @@ def _powers(room: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(base, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
 
 
+_kept = [_powers(1 << 16)]  # one table, the largest that was needed
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, n.bit_length()))
+    """At least ``n`` powers of the base and of its inverse."""
+    if len(_kept[0][0]) < n:
+        _kept[0] = _powers(1 << n.bit_length())
+    return _kept[0]
 
 
 def prefix_hashes(raw: np.ndarray) -> np.ndarray:
