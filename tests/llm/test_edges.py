@@ -208,6 +208,27 @@ def test_contradicting_slots_are_no_copy(spark):
     assert [r["key"] for r in found] == [1]
 
 
+def found_items(spark, items, docs):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    return {(r["key"], r["item"]): r for r in decontamination.contaminated(texts, bench).collect()}
+
+
+def test_templates_do_not_depend_on_the_text_before(spark):
+    short = "What is the capital city of France?"
+    said = "{} has 5 red apples in his old bag. {} has 7 green apples in a box there. {} has 9 more apples than both of them."
+    docs = [
+        "Question: " + short,
+        "so, " + short,
+        said.format("Bob", "Max", "Eve"),
+        "Note that " + said.format("Bob", "Max", "Eve").replace(". ", ".\n"),
+        said.format("Bob", "Max", "Eve").replace("apples", "pears").replace("has", "had"),
+    ]
+    found = found_items(spark, [short, said.format("Tom", "Sam", "Ann")], docs)
+    assert set(found) == {(0, 0), (1, 0), (2, 1), (3, 1)}
+    assert found[0, 0]["changed"] == 0 and found[2, 1]["changed"] == 3 and found[3, 1]["coverage"] >= 0.9
+
+
 def test_main_text(spark):
     article = "<article><h1>Head  line</h1><p>First &amp; best<br>part.<p>Second <b>part</b>, &#233;.</article>"
     shell = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=x>Home</a></ul></nav>{}<footer>&copy; us</footer>"

@@ -5,7 +5,8 @@ runs of template tokens (windows) of a benchmark item and of a document are foun
 item in one document on one diagonal (document position minus item position) are one occurrence. In a copy or a
 re-parameterised question every slot value of the item goes to one value of the document, so occurrences with
 contradicting slots are dropped, and a document is contaminated by an item when consistent occurrences cover
-enough of the item's windows.
+enough of the item's windows. Windows are read in several forms (``FORMS``), since a capital alone does not tell a name
+from the beginning of a sentence.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BENCHMARK_WINDOWS = 2_000_000
 # Characters of the private use area that begin a slot (number, name, unit) or join a number's parts.
 NUMBER, NAME, UNIT, JOINT = "\ue000", "\ue001", "\ue002", "\ue003"
 SLOTS = NUMBER + NAME + UNIT
+#: Begins a capitalised word that may be a name or just begin a sentence, line or text.
+FIRST = "\ue004"
 UNITS = (
     "kg|g|mg|km|cm|mm|m|mi|ft|lb|lbs|oz|l|ml|s|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|"
     "miles?|meters?|metres?|kilometers?|kilometres?|grams?|kilograms?|liters?|litres?|"
@@ -42,14 +45,23 @@ AFTER_LOWER = (
     (rf"({NUMBER}[\p{{Nd}}{JOINT}]* ) ?({UNITS})([^\p{{L}}]|$)", rf"$1{UNIT}$2 $3"),
     (rf"[$€£] {NUMBER}", rf" {UNIT} {NUMBER}"),
 )
+#: The same for both forms of names, with look-around: every capitalised word begins with FIRST, or with NAME where
+#: BEFORE_LOWER puts it.
+CAPITALS = (
+    (rf"\p{{Lu}}(?<![\p{{L}}\p{{M}}\p{{Nd}}]\p{{Lu}})(?=\p{{L}})", f"{FIRST}$0"),
+    (rf"([\p{{Ll}}\p{{Nd}},;:][ \t]){FIRST}", f"$1{NAME}"),
+)
+#: How a window is read: capitals as names only where BEFORE_LOWER says so, all capitalised words as names, and all
+#: names as words with the values of other slots. The last two do not depend on what stands before the window.
+FORMS = NARROW, WIDE, VERBATIM = 1, 2, 4
 SEPARATOR = rf"[^{_TOKEN}{SLOTS}]+"
 VALUE = rf"([{SLOTS}])[{_TOKEN}]*"
 
 
 def marked(text: Column) -> Column:
-    """Lower-cased text with the slots' marks before their values."""
-    out = F.translate(text, SLOTS + JOINT, "    ")
-    for pattern, replacement in BEFORE_LOWER:
+    """Lower-cased text with the slots' marks before their values; FIRST before a capital that only WIDE takes as a name."""
+    out = F.translate(text, SLOTS + JOINT + FIRST, "    \n")
+    for pattern, replacement in CAPITALS:
         out = F.regexp_replace(out, pattern, replacement)
     out = F.lower(out)
     numbers = out
@@ -59,51 +71,89 @@ def marked(text: Column) -> Column:
 
 
 def tokens(marked_text: Column) -> Column:
-    return F.array_remove(F.split(marked_text, SEPARATOR), "")
-
-
-def template(marked_text: Column) -> Column:
-    """The tokens with slots emptied of their values; at the same positions as ``tokens``."""
-    return tokens(F.regexp_replace(marked_text, VALUE, "$1"))
+    return F.array_remove(F.split(marked_text, rf"[^{_TOKEN}{SLOTS}{FIRST}]+"), "")
 
 
 def _is_slot(token: Column) -> Column:
     return F.substring(token, 1, 1).isin(*SLOTS)
 
 
+def _read(token: Column, form: int) -> Column:
+    """The token as a form reads it."""
+    mark = F.substring(token, 1, 1)
+    bare = token.substr(F.lit(2), F.length(token))
+    if form == VERBATIM:
+        return F.when(mark.isin(NAME, FIRST), bare).otherwise(token)
+    return F.when(mark.isin(*SLOTS), mark).when(mark == FIRST, bare if form == NARROW else F.lit(NAME)).otherwise(token)
+
+
+def _named(values: str) -> Column:
+    """Tokens with values, as WIDE takes them."""
+    return F.transform(values, lambda t: F.translate(t, FIRST, NAME))
+
+
 def _windows(texts: DataFrame, size: int, *keep: str) -> DataFrame:
-    """``keep, raw, at, hash`` for every window of ``size`` tokens of ``texts`` (keep, raw, parts)."""
-    hashed = texts.withColumn("parts", F.transform("parts", lambda t: F.xxhash64(t)))
-    count = F.size("parts") - size + 1
-    every = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice("parts", i, size))))
+    """``keep, raw, at, form, hash`` for every window of ``size`` tokens of ``texts`` (keep, raw).
+
+    NARROW has all windows, another form those that it reads in another way; other rows have no hash.
+    """
+
+    def parts(form: int) -> Column:
+        return F.transform("raw", lambda t: F.xxhash64(_read(t, form)))
+
+    def every(form: int) -> Column:
+        # The array stands here more than once, or the optimizer would put its making inside the loop.
+        name = f"_parts{form}"
+        count = F.size(name) - size + 1
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(name, i, size))))
+
+    hashed = texts.withColumns({f"_parts{f}": parts(f) for f in FORMS})
+
+    hashes = hashed.select(*keep, "raw", (F.size("raw") - size + 1).alias("_n"), *(every(f).alias(f"_h{f}") for f in FORMS))
+    other = [F.zip_with(f"_h{f}", f"_h{NARROW}", lambda x, y: F.when(x != y, x)) for f in FORMS[1:]]
     # The outer form: for the inner one the optimizer infers a filter on the array, and pushing that down to the scan
     # would put the whole rewriting of the text inside the loop over its windows.
-    return hashed.select(*keep, "raw", every.alias("hashes")).select(*keep, "raw", F.posexplode_outer("hashes").alias("at", "hash"))
+    out = hashes.select(*keep, "raw", "_n", F.concat(f"_h{NARROW}", *other).alias("_hashes"))
+    out = out.select(*keep, "raw", "_n", F.posexplode_outer("_hashes").alias("_at", "hash"))
+    form = F.element_at(F.array(*map(F.lit, FORMS)), (F.floor(F.col("_at") / F.col("_n")) + 1).cast("int"))
+    return out.select(*keep, "raw", (F.col("_at") % F.col("_n")).alias("at"), form.alias("form"), "hash")
+
+
+def _forms(form: Column, window: Column) -> Column:
+    """All forms, as bits, that read a window as the row of ``form`` does."""
+    mark = lambda t: F.substring(t, 1, 1)
+    first, slot = F.exists(window, lambda t: mark(t) == FIRST), F.exists(window, _is_slot)
+    same = F.lit(NARROW) + F.when(first, 0).otherwise(WIDE) + F.when(slot, 0).otherwise(VERBATIM)
+    return F.when(form == NARROW, same).otherwise(form)
 
 
 def benchmark_windows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """``item, at, size, total, hash, theirs`` of all windows of the items in which at least half the tokens are words.
+    """``item, at, size, plain, total, plain_total, hash, forms, theirs`` of all windows of the items.
 
-    ``theirs`` are the window's tokens with values, ``total`` counts the item's windows.
+    ``theirs`` are the window's tokens with marks and values, ``total`` counts the item's windows and ``plain_total``
+    those that are ``plain``: at least half their tokens are words. ``forms`` are those in which the window is looked for
+    by this hash: a template only where at least half the tokens are words in its form, the values always.
     """
-    whole = marked(whole_text(text))
-    texts = items.select(F.col(key).alias("item"), whole.alias("_marked")).select(
-        "item", tokens(F.col("_marked")).alias("raw"), template(F.col("_marked")).alias("parts")
-    )
+    texts = items.select(F.col(key).alias("item"), tokens(marked(whole_text(text))).alias("raw"))
     texts = written(texts.withColumn("n", F.size("raw")).filter(F.col("n") >= SHORTEST), "benchmark")
     lengths = [r["n"] for r in texts.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()]  # a few sizes
     out = None
     for size in sorted(lengths) or [WINDOW]:
         fits = texts.filter(F.col("n") >= size if size == WINDOW else F.col("n") == size)
         some = _windows(fits, size, "item").filter("hash is not null").select(
-            "item", "at", F.lit(size).alias("size"), "hash", F.slice("raw", F.col("at") + 1, size).alias("theirs")
+            "item", "at", F.lit(size).alias("size"), "hash", "form", F.slice("raw", F.col("at") + 1, size).alias("theirs")
         )
         out = some if out is None else out.unionByName(some)
-    words = F.size(F.filter("theirs", lambda t: ~_is_slot(t)))
-    out = written(out.filter(2 * words >= F.col("size")), "benchmark-windows")
-    # Equal items (also under one key) count once each place; the total is of distinct places.
-    totals = out.groupBy(F.col("item").alias("of")).agg(F.countDistinct("at", "size").alias("total"))
-    return out.join(totals, F.col("item").eqNullSafe(F.col("of"))).drop("of")
+    enough = lambda values: 2 * F.size(F.filter(values, lambda t: ~_is_slot(t))) >= F.col("size")
+    allowed = F.lit(VERBATIM) + F.when(enough("theirs"), NARROW).otherwise(0) + F.when(enough(_named("theirs")), WIDE).otherwise(0)
+    out = out.withColumn("plain", enough("theirs")).withColumn("forms", _forms(F.col("form"), F.col("theirs")).bitwiseAND(allowed))
+    out = written(out.filter("plain").drop("form"), "benchmark-windows")
+    # Equal items (also under one key) count once each place; the totals are of distinct places.
+    place = F.struct("at", "size")
+    totals = out.groupBy(F.col("item").alias("of")).agg(
+        F.countDistinct(place).alias("total"), F.countDistinct(F.when(F.col("plain"), place)).alias("plain_total")
+    )
+    return out.filter("forms > 0").join(totals, F.col("item").eqNullSafe(F.col("of"))).drop("of")
 
 
 def contaminated(
@@ -111,42 +161,55 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and item found in it: ``_tp_file, _tp_row, key, item, coverage, slots, changed``.
 
-    ``coverage``: share of the item's windows; ``slots``: distinct slot values of the item in the consistent
-    occurrences; ``changed``: those with another value in the document (0 for a plain copy). Null texts are empty and
-    match nothing; items of fewer than five tokens, or made of slots only, are not looked for. Repeated documents each
-    give their rows; null ids are carried as null. Empty tables give no rows, other columns are not read.
+    ``coverage``: share of the item's windows, or of its plain ones if that is more, found by the forms that were needed
+    (a later form is asked only while those before it do not suffice); ``slots``: distinct slot values of
+    the item in the consistent occurrences; ``changed``: those with another value in the document (0 for a plain copy).
+    Null texts are empty and match nothing; items of
+    fewer than five tokens, or made of slots mostly, are not looked for. Repeated documents each give their rows; null ids are carried as null.
+    Empty tables give no rows, other columns are not read.
     """
     theirs = written(benchmark_windows(items, item_key, item_text), "item-windows")
     sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect())  # at most WINDOW - SHORTEST + 1
-    rows = located(docs).select("_tp_file", "_tp_row", F.col(key).alias("key"), marked(whole_text(text)).alias("_marked"))
-    texts = rows.select("_tp_file", "_tp_row", "key", tokens(F.col("_marked")).alias("raw"), template(F.col("_marked")).alias("parts"))
-    index = theirs.select("item", F.col("at").alias("place"), "size", "hash", "theirs", "total")
+    texts = located(docs).select("_tp_file", "_tp_row", F.col(key).alias("key"), tokens(marked(whole_text(text))).alias("raw"))
+    index = theirs.withColumnRenamed("at", "place")
     found = None
     for size in sizes or [WINDOW]:
-        mine = _windows(texts, size, "_tp_file", "_tp_row", "key")
+        mine = _windows(texts, size, "_tp_file", "_tp_row", "key").filter("hash is not null")
         some = mine.join(small(index.filter(F.col("size") == size), BENCHMARK_WINDOWS), "hash").select(
-            "_tp_file", "_tp_row", "key", "item", "size", "place", "total", (F.col("at") - F.col("place")).alias("diagonal"), "theirs",
+            "_tp_file", "_tp_row", "key", "item", "size", "place", "plain", "total", "plain_total",
+            (F.col("at") - F.col("place")).alias("diagonal"), "form", "forms", "theirs",
             F.slice("raw", F.col("at") + 1, size).alias("ours"),
         )
         found = some if found is None else found.unionByName(some)
 
+    forms = F.col("forms").bitwiseAND(_forms(F.col("form"), F.col("ours")))
+    found = found.withColumn("form", F.explode(F.filter(F.array(*map(F.lit, FORMS)), lambda f: f.bitwiseAND(forms) > 0)))
+    ours = F.when(F.col("form") == WIDE, _named("ours")).when(F.col("form") == VERBATIM, F.col("theirs")).otherwise(F.col("ours"))
+    found = found.withColumn("ours", ours).withColumn("theirs", F.when(F.col("form") == WIDE, _named("theirs")).otherwise(F.col("theirs")))
     pairs = F.filter(F.arrays_zip("theirs", "ours"), lambda p: _is_slot(p["theirs"]))
     found = found.withColumn("pairs", pairs).drop("theirs", "ours")
     doc = ["_tp_file", "_tp_row", "key", "item"]
-    occurrences = found.groupBy(*doc, "total", "diagonal").agg(
-        F.collect_set(F.struct("size", "place")).alias("places"),  # bounded by the item
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-    )
-    different = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    agree = F.least(different("theirs"), different("ours")) >= CONSISTENT * F.size("pairs")
-    consistent = occurrences.filter(agree)
-    merged = consistent.groupBy(*doc, "total").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("found"),
+    occurrences = found.groupBy(*doc, "total", "plain_total", "form", "diagonal").agg(
+        F.collect_set(F.struct("size", "place", "plain")).alias("places"),  # bounded by the item
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
+    agree = F.least(F.size(F.array_distinct(F.transform("pairs", lambda p: p["theirs"]))), F.size(F.array_distinct(F.transform("pairs", lambda p: p["ours"])))) >= CONSISTENT * F.size("pairs")
+    merged = occurrences.filter(agree).groupBy(*doc, "total", "plain_total")
+    merged = merged.agg(F.collect_set(F.struct("form", "places", "pairs")).alias("all"))
+    plain = F.size(F.filter("places", lambda p: p["plain"]))
+    coverage = F.greatest(F.size("places") / F.col("total"), F.when(F.col("plain_total") > 0, plain / F.col("plain_total")))
+    # The forms in order: a later one is asked while the coverage does not suffice, for places that are new.
+    places = F.array_distinct(F.flatten(F.transform("used", lambda o: o["places"])))
+    new = lambda o: F.size(F.array_except(o["places"], F.col("places"))) > 0
+    merged = merged.withColumn("used", F.filter("all", lambda o: o["form"] == NARROW)).withColumn("places", places)
+    for form in (VERBATIM, WIDE):
+        more = F.filter("more", lambda o: o["form"] == form)
+        merged = merged.withColumn("more", F.when(coverage >= COVERAGE, F.slice("all", 1, 0)).otherwise(F.filter("all", new)))
+        merged = merged.withColumn("used", F.concat("used", more)).withColumn("places", places)
+    merged = merged.withColumn("pairs", F.array_distinct(F.flatten(F.transform("used", lambda o: o["pairs"]))))
     changed = F.filter("pairs", lambda p: p["theirs"] != p["ours"])
     return (
-        merged.withColumn("coverage", F.col("found") / F.col("total"))
+        merged.withColumn("coverage", coverage)
         .filter(F.col("coverage") >= COVERAGE)
         .select(*doc, "coverage", F.size("pairs").alias("slots"), F.size(changed).alias("changed"))
     )
