@@ -229,6 +229,13 @@ def test_templates_do_not_depend_on_the_text_before(spark):
     assert found[0, 0]["changed"] == 0 and found[2, 1]["changed"] == 3 and found[3, 1]["coverage"] >= 0.9
 
 
+def test_items_made_mostly_of_slots(spark):
+    items = ["What is 23 + 45 * 12 - 7?", "Ann 3 Bob 4 Cid 5 Dan 6 Eve 7 Flo 8", "1 2 3 4 5 6"]
+    docs = ["Question: " + items[0] + " Tell me.", "scores: " + items[1], "they count 1 2 3 4 5 6 7", "What is 24 + 44 * 11 - 8?", "9 8 7 6 5 4 3 2"]
+    found = found_items(spark, items, docs)
+    assert set(found) == {(0, 0), (1, 1), (2, 2)} and {r["coverage"] for r in found.values()} == {1.0}
+
+
 def test_main_text(spark):
     article = "<article><h1>Head  line</h1><p>First &amp; best<br>part.<p>Second <b>part</b>, &#233;.</article>"
     shell = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=x>Home</a></ul></nav>{}<footer>&copy; us</footer>"

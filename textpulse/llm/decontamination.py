@@ -147,7 +147,7 @@ def benchmark_windows(items: DataFrame, key: str, text: str) -> DataFrame:
     enough = lambda values: 2 * F.size(F.filter(values, lambda t: ~_is_slot(t))) >= F.col("size")
     allowed = F.lit(VERBATIM) + F.when(enough("theirs"), NARROW).otherwise(0) + F.when(enough(_named("theirs")), WIDE).otherwise(0)
     out = out.withColumn("plain", enough("theirs")).withColumn("forms", _forms(F.col("form"), F.col("theirs")).bitwiseAND(allowed))
-    out = written(out.filter("plain").drop("form"), "benchmark-windows")
+    out = written(out.drop("form"), "benchmark-windows")
     # Equal items (also under one key) count once each place; the totals are of distinct places.
     place = F.struct("at", "size")
     totals = out.groupBy(F.col("item").alias("of")).agg(
@@ -164,8 +164,8 @@ def contaminated(
     ``coverage``: share of the item's windows, or of its plain ones if that is more, found by the forms that were needed
     (a later form is asked only while those before it do not suffice); ``slots``: distinct slot values of
     the item in the consistent occurrences; ``changed``: those with another value in the document (0 for a plain copy).
-    Null texts are empty and match nothing; items of
-    fewer than five tokens, or made of slots mostly, are not looked for. Repeated documents each give their rows; null ids are carried as null.
+    Windows made mostly of slots are found with equal values only. Null texts are empty and match nothing; items of
+    fewer than five tokens are not looked for. Repeated documents each give their rows; null ids are carried as null.
     Empty tables give no rows, other columns are not read.
     """
     theirs = written(benchmark_windows(items, item_key, item_text), "item-windows")
