@@ -236,6 +236,12 @@ def test_items_made_mostly_of_slots(spark):
     assert set(found) == {(0, 0), (1, 1), (2, 2)} and {r["coverage"] for r in found.values()} == {1.0}
 
 
+def test_coinciding_values_of_a_document_are_no_contradiction(spark):
+    said = "if you take {} red balls and {} blue balls out of the bag how many are left"
+    found = found_items(spark, [said.format(3, 4)], [said.format(5, 5), said.format(6, 7)])
+    assert {k: r["changed"] for k, r in found.items()} == {(0, 0): 2, (1, 0): 2}
+
+
 def test_main_text(spark):
     article = "<article><h1>Head  line</h1><p>First &amp; best<br>part.<p>Second <b>part</b>, &#233;.</article>"
     shell = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=x>Home</a></ul></nav>{}<footer>&copy; us</footer>"

@@ -193,7 +193,7 @@ def contaminated(
         F.collect_set(F.struct("size", "place", "plain")).alias("places"),  # bounded by the item
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
-    agree = F.least(F.size(F.array_distinct(F.transform("pairs", lambda p: p["theirs"]))), F.size(F.array_distinct(F.transform("pairs", lambda p: p["ours"])))) >= CONSISTENT * F.size("pairs")
+    agree = F.size(F.array_distinct(F.transform("pairs", lambda p: p["theirs"]))) >= CONSISTENT * F.size("pairs")
     merged = occurrences.filter(agree).groupBy(*doc, "total", "plain_total")
     merged = merged.agg(F.collect_set(F.struct("form", "places", "pairs")).alias("all"))
     plain = F.size(F.filter("places", lambda p: p["plain"]))
