@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textpulse.llm import decontamination, exact_dedup, language_id, main_text, near_dedup, piece_bpe, repeats, sharding, token_files, url_reputation
+from textpulse.llm import decontamination, dom, exact_dedup, language_id, main_text, near_dedup, piece_bpe, repeats, sharding, token_files, url_reputation
 
 LONG = " ".join(f"word{i % 977} und{i % 13}" for i in range(30_000))
 PASSAGE = " ".join(f"passage{i} of the thing" for i in range(40))
@@ -242,6 +242,17 @@ def test_coinciding_values_of_a_document_are_no_contradiction(spark):
     assert {k: r["changed"] for k, r in found.items()} == {(0, 0): 2, (1, 0): 2}
 
 
+@pytest.mark.parametrize("start", ["<body>", "", "<head><body>"])
+def test_head_without_end_tag(start):
+    head = "<html><head><meta charset=utf-8><title>x</title><script>var a=1</script><noscript><div>no</div></noscript>"
+    page = dom.Page(head + start + "<article><p>Hello</p><p>you</article>")
+    assert page.blocks_of(dom.by_convention(page)) == ["Hello", "you"]
+    page = dom.Page("<head><title>x</title>\n<style>p{}</style></head><body><article>Hello")
+    assert page.blocks_of([1] * len(page.tags)) == ["Hello"]
+    page = dom.Page("<head><title>x</title>Hello")
+    assert page.blocks_of([1] * len(page.tags)) == ["Hello"]
+
+
 def test_main_text(spark):
     article = "<article><h1>Head  line</h1><p>First &amp; best<br>part.<p>Second <b>part</b>, &#233;.</article>"
     shell = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=x>Home</a></ul></nav>{}<footer>&copy; us</footer>"

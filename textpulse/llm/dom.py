@@ -16,6 +16,7 @@ import numpy as np
 # Element kinds of HTML, and words that sites use in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MARKUP = frozenset("script style template noscript svg iframe head title textarea select option canvas".split())
+HEAD_TAGS = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span"
     " strike strong sub sup time tt u var wbr".split()
@@ -75,7 +76,14 @@ class Page(HTMLParser):
             self._pop()
         self._pop()
 
+    def _end_head(self) -> None:
+        while "head" in self.open:
+            self._pop_to({"head"})
+
     def handle_starttag(self, tag: str, attrs) -> None:
+        # A page may leave out the end tag of its head; what stands in an open template or noscript does not end it.
+        if tag == "body" or (tag not in HEAD_TAGS and "template" not in self.open and "noscript" not in self.open):
+            self._end_head()
         if tag in VOID:
             if tag in ("br", "hr") and self.run >= 0:
                 self.texts[self.run].append(" ")
@@ -110,6 +118,8 @@ class Page(HTMLParser):
             self._pop_to({tag})
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1] == "head" and data.strip():  # text cannot stand in a head
+            self._end_head()
         if self.silent:
             return
         if self.run < 0:
