@@ -242,6 +242,27 @@ def test_coinciding_values_of_a_document_are_no_contradiction(spark):
     assert {k: r["changed"] for k, r in found.items()} == {(0, 0): 2, (1, 0): 2}
 
 
+def test_sample_of_pages_holds_different_marked_ones(spark, monkeypatch):
+    marked = "<html><body><nav><a href=x>Home</a></nav><article><p>Text {} of it, at length.</p></article></body></html>"
+    rows = [f"<html><body><div>page {i}</div></body></html>" for i in range(300)] + [marked.format(0)] * 200 + [marked.format(i) for i in range(6)]
+    pages = spark.createDataFrame([(t,) for t in rows], "html string")
+    taken = []
+    monkeypatch.setattr(main_text, "written", lambda df, name: taken.append((name, df.collect())) or df.sparkSession.createDataFrame(taken[-1][1], df.schema))
+    assert main_text.learn(pages, most=5) is not None
+    assert len(taken[0][1]) == 5 and len({r["digest"] for r in taken[0][1]}) == 5
+    one = main_text.learn(spark.createDataFrame([(marked.format(1),)], "html string"))
+    assert one is not None and len(taken[1][1]) > 3 * len(taken[-1][1])  # nodes of five pages and of one
+
+
+def test_unmarked_pages_without_a_model(spark):
+    long = "A long sentence of the page, which goes on for some time, and then some more, until it ends here."
+    page = f"<body><nav><p>{long}</p></nav><div><h1>Head</h1><p>{long}</p><p>Short.</p></div><ul><li><a href=x>{long}</a></ul></body>"
+    pages = spark.createDataFrame([(1, page), (2, "<body><div><p>Few words</p></div>"), (3, "")], "page_id bigint, html string")
+    assert main_text.learn(pages) is None
+    got = by_id(main_text.extract(pages, None).collect(), "page_id")
+    assert [got[i]["text"] for i in (1, 2, 3)] == [f"Head\n{long}\nShort.", "Few words", ""]
+
+
 @pytest.mark.parametrize("start", ["<body>", "", "<head><body>"])
 def test_head_without_end_tag(start):
     head = "<html><head><meta charset=utf-8><title>x</title><script>var a=1</script><noscript><div>no</div></noscript>"

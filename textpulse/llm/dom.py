@@ -32,6 +32,8 @@ OTHER_WORDS = frozenset(
     " signup social sponsor sponsored subscribe tags toolbar widget".split()
 )
 _PUNCTUATION = re.compile(r"[.,;:!?]")
+#: Characters from which a run counts as long.
+LONG_RUN = 80
 BUCKETS = 8
 FEATURES = 20 + BUCKETS
 
@@ -164,6 +166,29 @@ def by_convention(page: Page) -> list[int] | None:
     return out
 
 
+def by_density(page: Page) -> list[int]:
+    """Main (1) or not (0) for a page without signs for main text, by its runs' lengths and shares of link text.
+
+    A run is main if it is long and mostly no link, or such a run's sibling that is mostly no link; without long runs all
+    that are mostly no link are. Runs in elements for other matter are not.
+    """
+    _, other = signs(page)
+    dropped, plain, out = [0] * len(other), [0] * len(other), [0] * len(other)
+    long = set()  # parents, and theirs, of long runs
+    for i, parent in enumerate(page.parents):
+        dropped[i] = other[i] or (dropped[parent] if parent >= 0 else 0)
+        if page.texts[i] is not None and not dropped[i]:
+            chars = len("".join(page.texts[i]))
+            plain[i] = int(3 * page.links[i] <= chars)
+            if plain[i] and chars >= LONG_RUN:
+                long |= {parent, page.parents[parent]}
+    for i, parent in enumerate(page.parents):
+        out[i] = int(plain[i] and (not long or parent in long or page.parents[parent] in long))
+    for i in range(len(out) - 1, 0, -1):
+        out[page.parents[i]] |= out[i]
+    return out
+
+
 def features(page: Page) -> np.ndarray:
     """One row per node: densities of its subtree, place, siblings, own and inherited signs, hashed words."""
     n = len(page.tags)

@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from textpulse.llm.common import read, register, written
-from textpulse.llm.dom import OTHER_TAGS, OTHER_WORDS, Page, by_convention, features
+from textpulse.llm.dom import OTHER_TAGS, OTHER_WORDS, Page, by_convention, by_density, features
 from textpulse.llm.words import runs
 
-#: Most pages that the model learns from.
+#: Most pages that the model learns from: different ones that mark their article.
 TRAINING_PAGES = 400
 TREES, DEPTH, STEP = 20, 4, 0.3
 
@@ -103,9 +103,27 @@ def exported(model: GBTClassificationModel) -> Boosted:
 
 
 def learn(pages: DataFrame, html: str = "html", most: int = TRAINING_PAGES) -> Boosted | None:
-    """Model of at most ``most`` pages, chosen by a digest of their text; null without pages that mark their article."""
-    some = pages.select(F.col(html).cast("string").alias("html")).filter("html is not null")
-    some = some.orderBy(F.xxhash64("html"), "html").limit(most).repartition(8)
+    """Model of at most ``most`` different pages that mark their article, chosen by a digest; null without such pages."""
+    rows = pages.select(F.col(html).cast("string").alias("html")).filter("html is not null")
+    rows = rows.select(F.xxhash64("html").alias("digest"), "html")
+
+    def marking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in runs(batches, "html"):
+            marks = pa.array([by_convention(Page(t)) is not None for t in texts], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("digest").filter(marks)], names=["digest"])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # at most ``most`` digests
+        for batch in batches:
+            digests = batch.column("digest").to_pylist()
+            first = [d not in seen and not seen.add(d) for d in digests]
+            yield batch.filter(pa.array(first, pa.bool_()))
+
+    chosen = rows.mapInArrow(marking, "digest bigint").distinct().orderBy("digest").limit(most)
+    chosen = F.broadcast(written(chosen, "page-sample"))
+    # Copies go in the map tasks, so that a page that stands in many rows is moved once a task.
+    some = rows.join(chosen, "digest").mapInArrow(once, "digest bigint, html string").dropDuplicates(["digest"])
+    some = some.select("html").repartition(8)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in runs(batches, "html"):
@@ -142,7 +160,7 @@ def extract(pages: DataFrame, model: Boosted | None, html: str = "html") -> Data
 
     Blocks stand in page order with one line break between them; character references are decoded and white space is
     made single spaces. A null or empty page, or one without kept text, has the empty text. Without a model a page's
-    own marks decide. Columns of these names are replaced, all others are kept; repeated rows give equal results.
+    own marks decide, or else its densities. Columns of these names are replaced, all others are kept; repeated rows give equal results.
     """
     pages = pages.drop("text", "n_chars")
     schema = StructType([*pages.schema.fields, StructField("text", StringType()), StructField("n_chars", LongType())])
@@ -153,7 +171,7 @@ def extract(pages: DataFrame, model: Boosted | None, html: str = "html") -> Data
             rows = [features(t) for t in trees]
             ends = np.cumsum([len(r) for r in rows])
             if model is None:
-                kept = [by_convention(t) or [0] * len(t.tags) for t in trees]
+                kept = [by_convention(t) or by_density(t) for t in trees]
             else:
                 margins = np.split(model.margins(np.concatenate(rows)), ends[:-1]) if rows else []
                 kept = [decoded(t.parents, m) for t, m in zip(trees, margins)]
