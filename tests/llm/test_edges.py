@@ -176,6 +176,17 @@ def test_urls(spark):
     assert url_reputation.judge_urls(pages.limit(0), outcomes).count() == 0
 
 
+def test_given_suffixes_part_registered_domains(spark):
+    urls = [(1, "http://new.foo.gov.uk/a"), (2, "http://new.bar.gov.uk/a")]
+    pages = spark.createDataFrame(urls, "page_id bigint, url string")
+    rows = [("www.foo.gov.uk", 1)] * 60 + [("www.bar.gov.uk", 0)] * 60
+    outcomes = spark.createDataFrame(rows, "host string, good bigint")
+    default = by_id(url_reputation.judge_urls(pages, outcomes).collect(), "page_id")
+    assert default[1]["bound"] == default[2]["bound"]
+    got = by_id(url_reputation.judge_urls(pages, outcomes, long_suffixes=("gov.uk",)).collect(), "page_id")
+    assert got[1]["bound"] > default[1]["bound"] and got[2]["bound"] < default[2]["bound"]
+
+
 def test_templates(spark, edge, empty):
     items = [
         (1, "A train leaves Town for Rome with 30 people and 4 kg of rice each, so how many kg does it carry?"),

@@ -61,9 +61,10 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULE
     return out
 
 
-def _levels(counts: DataFrame) -> dict[str, DataFrame]:
+def _levels(counts: DataFrame, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> dict[str, DataFrame]:
     """Label counts ``n, good`` of every host, domain and suffix that has labels, each with its parent."""
-    host = counts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "good")
+    domain_, suffix_ = domain_of(F.col("host"), long_suffixes), suffix_of(F.col("host"), long_suffixes)
+    host = counts.select("host", domain_.alias("domain"), suffix_.alias("suffix"), "n", "good")
     total = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     domain = total(host, "domain", "suffix")
     return {"suffix": total(domain, "suffix"), "domain": domain, "host": host}
@@ -99,13 +100,15 @@ def _bound(z: float) -> Column:
     return _mean() - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
 
 
-def reputation(counts: DataFrame, z: float = 1.645, strongest: float = 1000.0) -> dict[str, DataFrame]:
+def reputation(
+    counts: DataFrame, z: float = 1.645, strongest: float = 1000.0, long_suffixes: Sequence[str] = LONG_SUFFIXES
+) -> dict[str, DataFrame]:
     """Posterior tables by level, ``<level>, bound``, and under ``all`` the one row of the overall rate.
 
     ``counts``: host, n labels, good ones of them. The overall rate has a uniform prior, so that it is defined
     without labels too.
     """
-    levels = _levels(counts)
+    levels = _levels(counts, long_suffixes)
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     every = sums.select((F.col("good") + 1.0).alias("a"), (F.col("n") - F.col("good") + 1.0).alias("b"))
     suffix = _shrunk(levels["suffix"].join(F.broadcast(every.select(_mean().alias("m")))), strongest)  # one row
@@ -122,22 +125,24 @@ def judge_urls(
     rules: Sequence[tuple[str, str]] = RULES,
     least: float = 0.8,
     z: float = 1.645,
+    long_suffixes: Sequence[str] = LONG_SUFFIXES,
 ) -> DataFrame:
     """Add ``host, path, rule, bound, verdict`` to every row of ``pages``.
 
     ``outcomes``: ``host`` and ``good`` (0, 1 or null, which counts for nothing) of labelled pages. ``least``: the
     posterior bound (mean minus ``z`` standard deviations) from which a URL is allowed. A null URL, or one without
     ``://``, has the empty host, whose reputation is that of all pages unless it has labels itself. Repeated rows are
-    judged alike, columns of these names are replaced, an empty table stays empty.
+    judged alike, columns of these names are replaced, an empty table stays empty. ``long_suffixes``: suffixes of two
+    labels; the default holds seven, give the public list for real hosts.
     """
     counts = outcomes.filter("good is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
-    known = reputation(written(counts, "url-outcomes"), z)
+    known = reputation(written(counts, "url-outcomes"), z, long_suffixes=long_suffixes)
     pages = pages.drop("host", "path", "rule", "bound", "verdict")
     split = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
 
     # One bound per distinct host; pages then meet it in one join on the host.
     hosts = split.select("host").distinct()
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = hosts.withColumns({"domain": domain_of(F.col("host"), long_suffixes), "suffix": suffix_of(F.col("host"), long_suffixes)})
     for level in LEVELS:
         hosts = hosts.join(known[level].withColumnRenamed("bound", f"b_{level}"), level, "left")
     hosts = hosts.join(F.broadcast(known["all"].withColumnRenamed("bound", "b_all")))  # one row
