@@ -92,31 +92,37 @@ def _named(values: str) -> Column:
     return F.transform(values, lambda t: F.translate(t, FIRST, NAME))
 
 
-def _windows(texts: DataFrame, size: int, *keep: str) -> DataFrame:
-    """``keep, raw, at, form, hash`` for every window of ``size`` tokens of ``texts`` (keep, raw).
+def _windows(texts: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """``keep, size, at, form, hash`` for every window of ``sizes`` tokens of ``texts`` (keep, raw).
 
-    NARROW has all windows, another form those that it reads in another way; other rows have no hash.
+    NARROW has all windows, another form those that it reads in another way. The text is rewritten once for all sizes,
+    and only hashes leave the document: its tokens would be copied with every window.
     """
 
     def parts(form: int) -> Column:
         return F.transform("raw", lambda t: F.xxhash64(_read(t, form)))
 
-    def every(form: int) -> Column:
+    def every(form: int, size: int) -> Column:
         # The array stands here more than once, or the optimizer would put its making inside the loop.
         name = f"_parts{form}"
         count = F.size(name) - size + 1
-        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(name, i, size))))
+        hashes = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(name, i, size)))
+        return F.when(count > 0, hashes).otherwise(F.array().cast("array<bigint>"))
 
     hashed = texts.withColumns({f"_parts{f}": parts(f) for f in FORMS})
+    hashes = hashed.select(*keep, *(every(f, s).alias(f"_h{f}_{s}") for f in FORMS for s in sizes))
 
-    hashes = hashed.select(*keep, "raw", (F.size("raw") - size + 1).alias("_n"), *(every(f).alias(f"_h{f}") for f in FORMS))
-    other = [F.zip_with(f"_h{f}", f"_h{NARROW}", lambda x, y: F.when(x != y, x)) for f in FORMS[1:]]
+    def block(size: int) -> Column:
+        own = F.col(f"_h{NARROW}_{size}")
+        other = [F.zip_with(f"_h{f}_{size}", own, lambda x, y: F.when(x != y, x)) for f in FORMS[1:]]
+        return F.struct(F.lit(size).alias("size"), F.size(own).alias("_n"), F.concat(own, *other).alias("_hashes"))
+
+    blocks = hashes.select(*keep, F.array(*map(block, sizes)).alias("_blocks")).select(*keep, F.inline_outer("_blocks"))
     # The outer form: for the inner one the optimizer infers a filter on the array, and pushing that down to the scan
     # would put the whole rewriting of the text inside the loop over its windows.
-    out = hashes.select(*keep, "raw", "_n", F.concat(f"_h{NARROW}", *other).alias("_hashes"))
-    out = out.select(*keep, "raw", "_n", F.posexplode_outer("_hashes").alias("_at", "hash"))
+    out = blocks.select(*keep, "size", "_n", F.posexplode_outer("_hashes").alias("_at", "hash")).filter("hash is not null")
     form = F.element_at(F.array(*map(F.lit, FORMS)), (F.floor(F.col("_at") / F.col("_n")) + 1).cast("int"))
-    return out.select(*keep, "raw", (F.col("_at") % F.col("_n")).alias("at"), form.alias("form"), "hash")
+    return out.select(*keep, "size", (F.col("_at") % F.col("_n")).alias("at"), form.alias("form"), "hash")
 
 
 def _forms(form: Column, window: Column) -> Column:
@@ -136,14 +142,10 @@ def benchmark_windows(items: DataFrame, key: str, text: str) -> DataFrame:
     """
     texts = items.select(F.col(key).alias("item"), tokens(marked(whole_text(text))).alias("raw"))
     texts = written(texts.withColumn("n", F.size("raw")).filter(F.col("n") >= SHORTEST), "benchmark")
-    lengths = [r["n"] for r in texts.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()]  # a few sizes
-    out = None
-    for size in sorted(lengths) or [WINDOW]:
-        fits = texts.filter(F.col("n") >= size if size == WINDOW else F.col("n") == size)
-        some = _windows(fits, size, "item").filter("hash is not null").select(
-            "item", "at", F.lit(size).alias("size"), "hash", "form", F.slice("raw", F.col("at") + 1, size).alias("theirs")
-        )
-        out = some if out is None else out.unionByName(some)
+    texts = texts.withColumn("own", F.least("n", F.lit(WINDOW)))
+    sizes = sorted(r["own"] for r in texts.select("own").distinct().collect()) or [WINDOW]  # a few sizes
+    out = _windows(texts, sizes, "item", "own", "raw").filter("size = own")
+    out = out.select("item", "at", "size", "hash", "form", F.slice("raw", F.col("at") + 1, F.col("size")).alias("theirs"))
     enough = lambda values: 2 * F.size(F.filter(values, lambda t: ~_is_slot(t))) >= F.col("size")
     allowed = F.lit(VERBATIM) + F.when(enough("theirs"), NARROW).otherwise(0) + F.when(enough(_named("theirs")), WIDE).otherwise(0)
     out = out.withColumn("plain", enough("theirs")).withColumn("forms", _forms(F.col("form"), F.col("theirs")).bitwiseAND(allowed))
@@ -169,18 +171,22 @@ def contaminated(
     Empty tables give no rows, other columns are not read.
     """
     theirs = written(benchmark_windows(items, item_key, item_text), "item-windows")
-    sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect())  # at most WINDOW - SHORTEST + 1
-    texts = located(docs).select("_tp_file", "_tp_row", F.col(key).alias("key"), tokens(marked(whole_text(text))).alias("raw"))
+    sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect()) or [WINDOW]  # at most WINDOW - SHORTEST + 1
+    row = ["_tp_file", "_tp_row"]
+    rows = located(docs)
+    raw = tokens(marked(whole_text(text))).alias("raw")
+    mine = _windows(rows.select(*row, raw), sizes, *row)
     index = theirs.withColumnRenamed("at", "place")
-    found = None
-    for size in sizes or [WINDOW]:
-        mine = _windows(texts, size, "_tp_file", "_tp_row", "key").filter("hash is not null")
-        some = mine.join(small(index.filter(F.col("size") == size), BENCHMARK_WINDOWS), "hash").select(
-            "_tp_file", "_tp_row", "key", "item", "size", "place", "plain", "total", "plain_total",
-            (F.col("at") - F.col("place")).alias("diagonal"), "form", "forms", "theirs",
-            F.slice("raw", F.col("at") + 1, size).alias("ours"),
-        )
-        found = some if found is None else found.unionByName(some)
+    looked = small(theirs.select("size", "hash").distinct(), BENCHMARK_WINDOWS)
+    hits = written(mine.join(looked, ["size", "hash"], "left_semi"), "window-hits")
+    # Only documents with hits are rewritten again, for the tokens of their windows.
+    held = rows.join(small(hits.select(*row).distinct(), 300_000), row, "left_semi")
+    held = held.select(*row, F.col(key).alias("key"), raw)
+    found = hits.join(small(index, BENCHMARK_WINDOWS), ["size", "hash"]).join(held, row).select(
+        *row, "key", "item", "size", "place", "plain", "total", "plain_total",
+        (F.col("at") - F.col("place")).alias("diagonal"), "form", "forms", "theirs",
+        F.slice("raw", F.col("at") + 1, F.col("size")).alias("ours"),
+    )
 
     forms = F.col("forms").bitwiseAND(_forms(F.col("form"), F.col("ours")))
     found = found.withColumn("form", F.explode(F.filter(F.array(*map(F.lit, FORMS)), lambda f: f.bitwiseAND(forms) > 0)))
