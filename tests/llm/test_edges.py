@@ -1,6 +1,8 @@
 """Every operator over nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import json
+import random
+import time
 
 import public_tokenizers
 import pytest
@@ -253,6 +255,31 @@ def test_coinciding_values_of_a_document_are_no_contradiction(spark):
     assert {k: r["changed"] for k, r in found.items()} == {(0, 0): 2, (1, 0): 2}
 
 
+def test_items_of_different_lengths_in_one_document(spark):
+    items = ["which river runs past Paris", "which rivers run past old Paris", "a longer item of well over eight tokens in all"]
+    docs = [" and ".join(items), items[1], "nothing of the kind", None, ""]
+    found = found_items(spark, items, docs)
+    assert set(found) == {(0, 0), (0, 1), (0, 2), (1, 1)} and {r["coverage"] for r in found.values()} == {1.0}
+
+
+def test_broken_pages():
+    text = lambda html: (lambda p: p.blocks_of([1] * len(p.tags)))(dom.Page(html))
+    assert text("<![foo[x]]><article>Hi</article>") == ["Hi"] and text("<![%") == []
+    assert text("a<!-- no end <p>y") == ["a"] and text("<!-->x<!--->y<!-- z --!>w") == ["xyw"]
+    assert text("<p>x <a href='y") == ["x"] and text("<p>1 < 2") == ["1 < 2"] and text("<?x y?>z") == ["z"]
+    chance = random.Random(1)
+    bits = ["<", ">", "!", "[", "]", "--", "<!", "<![", "p", "div", "a ", '="', '"', "'", "/", "&#x", "&", "?", "<!--", "-->", "t", "<script>", "</li>", "%"]
+    for _ in range(10_000):
+        text("".join(chance.choices(bits, k=chance.randint(1, 40))))
+
+
+def test_large_broken_pages_take_linear_time():
+    begin = time.process_time()
+    for html in ("<div>" * 50_000 + "x", "<ul><li>" * 50_000, "<a " * 300_000, "<!-- " * 200_000, "<p>x</div>" * 50_000, "<![x" * 200_000):
+        dom.Page(html)
+    assert time.process_time() - begin < 30
+
+
 def test_sample_of_pages_holds_different_marked_ones(spark, monkeypatch):
     marked = "<html><body><nav><a href=x>Home</a></nav><article><p>Text {} of it, at length.</p></article></body></html>"
     rows = [f"<html><body><div>page {i}</div></body></html>" for i in range(300)] + [marked.format(0)] * 200 + [marked.format(i) for i in range(6)]

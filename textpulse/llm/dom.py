@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -32,6 +33,8 @@ OTHER_WORDS = frozenset(
     " signup social sponsor sponsored subscribe tags toolbar widget".split()
 )
 _PUNCTUATION = re.compile(r"[.,;:!?]")
+_TAG_BEGIN = re.compile(r"<[A-Za-z/]")
+_COMMENT_END, _EMPTY_COMMENT = re.compile(r"--!?>"), re.compile(r"<!--(?:-?>)")
 #: Characters from which a run counts as long.
 LONG_RUN = 80
 BUCKETS = 8
@@ -51,9 +54,29 @@ class Page(HTMLParser):
         self.run = -1  # text run that goes on
         self.silent = 0  # open markup elements
         self.anchors = 0  # open links
-        self.feed(html)
+        self.count = Counter()  # open elements by tag
+        # A tag that the page's end cuts off is no text; a parser would look for its end once for every "<" in it.
+        cut = _TAG_BEGIN.search(html, html.rfind(">") + 1)
+        self.feed(html[: cut.start()] if cut else html)
         self.close()
 
+    def _mark_end(self, i: int) -> int:
+        end = self.rawdata.find(">", i)
+        return len(self.rawdata) if end < 0 else end + 1
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """A comment without an end goes on to the end of the page."""
+        m = _COMMENT_END.search(self.rawdata, i + 4)
+        short = _EMPTY_COMMENT.match(self.rawdata, i)
+        return short.end() if short else m.end() if m else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Declarations and marked sections of any form are comments up to the next ``>``."""
+        return self.parse_comment(i) if self.rawdata.startswith("<!--", i) else self._mark_end(i)
+
+    def parse_pi(self, i: int) -> int:
+        return self._mark_end(i)
+
     def _node(self, tag: str, tokens: tuple, text: list[str] | None) -> int:
         self.tags.append(tag)
         self.tokens.append(tokens)
@@ -64,6 +87,7 @@ class Page(HTMLParser):
 
     def _pop(self) -> None:
         tag = self.open.pop()
+        self.count[tag] -= 1
         if tag in MARKUP:
             self.silent -= 1
         elif tag == "a":
@@ -79,21 +103,21 @@ class Page(HTMLParser):
         self._pop()
 
     def _end_head(self) -> None:
-        while "head" in self.open:
+        while self.count["head"]:
             self._pop_to({"head"})
 
     def handle_starttag(self, tag: str, attrs) -> None:
         # A page may leave out the end tag of its head; what stands in an open template or noscript does not end it.
-        if tag == "body" or (tag not in HEAD_TAGS and "template" not in self.open and "noscript" not in self.open):
+        if tag == "body" or (tag not in HEAD_TAGS and not self.count["template"] and not self.count["noscript"]):
             self._end_head()
         if tag in VOID:
             if tag in ("br", "hr") and self.run >= 0:
                 self.texts[self.run].append(" ")
             return
         if tag not in INLINE and tag not in MARKUP:
-            if "p" in self.open:  # a block ends an open paragraph
+            if self.count["p"]:  # a block ends an open paragraph
                 self._pop_to({"p"})
-            if tag in CLOSES:
+            if tag in CLOSES and any(self.count[t] for t in CLOSES[tag]):
                 inner = len(self.open) - 1
                 while inner and self.open[inner] not in CLOSES[tag] and self.open[inner] not in ("ul", "ol", "dl", "table"):
                     inner -= 1
@@ -101,6 +125,7 @@ class Page(HTMLParser):
                     while len(self.open) > inner:
                         self._pop()
         self.open.append(tag)
+        self.count[tag] += 1
         if tag in MARKUP:
             self.silent += 1
         elif tag == "a":
@@ -116,7 +141,7 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.open[1:]:
+        if self.count[tag]:
             self._pop_to({tag})
 
     def handle_data(self, data: str) -> None:
