@@ -202,6 +202,32 @@ def _encoder(path: str) -> WordCache:
     return WordCache(encode)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], model_path: str, text: str, ids: str) -> Iterator[pa.RecordBatch]:
+    model, cache = piece_model(model_path), _encoder(model_path)
+    try:
+        for batch, texts in runs(batches, text):
+            split = [model.words(t) for t in texts]
+            cache.fill(set().union(*split))
+            yield _plus(batch, ids, id_lists([b"".join(map(cache.__getitem__, words)) for words in split]))
+    finally:  # a worker lives on through other stages, which need the memory
+        cache.forget()
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], model_path: str, ids: str, text: str) -> Iterator[pa.RecordBatch]:
+    model = piece_model(model_path)
+    starts = np.array([p.startswith(SPACE) for p in model.pieces])
+    cache = WordCache(lambda keys: [model.decode_raw(memoryview(k).cast("i")) for k in keys])
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(ids))
+        for i in range(0, batch.num_rows, 256):
+            part = column.slice(i, 256)
+            rows = list(_rows(part))
+            split = [_id_runs(row, starts) for row in rows]
+            cache.fill(set().union(*split))
+            out = [model.unspaced(map(int, row), "".join(map(cache.__getitem__, keys))) for row, keys in zip(rows, split, strict=True)]
+            yield _plus(batch.slice(i, 256), text, pa.array(out, type=pa.string()))
+
+
 def with_ids(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids``, the token ids of every whole text, as an array of int.
 
@@ -210,18 +236,7 @@ def with_ids(docs: DataFrame, model_path: str, text: str = "text", ids: str = "i
     """
     docs = docs.drop(ids)
     schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = piece_model(model_path), _encoder(model_path)
-        try:
-            for batch, texts in runs(batches, text):
-                split = [model.words(t) for t in texts]
-                cache.fill(set().union(*split))
-                yield _plus(batch, ids, id_lists([b"".join(map(cache.__getitem__, words)) for words in split]))
-        finally:  # a worker lives on through other stages, which need the memory
-            cache.forget()
-
-    return small_batches(docs).mapInArrow(encode, schema)
+    return small_batches(docs).mapInArrow(lambda batches: _encoded(batches, model_path, text, ids), schema)
 
 
 def with_text(docs: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -231,22 +246,18 @@ def with_text(docs: DataFrame, model_path: str, ids: str = "ids", text: str = "d
     """
     docs = docs.drop(text)
     schema = StructType([*docs.schema.fields, StructField(text, StringType())])
+    return small_batches(docs).mapInArrow(lambda batches: _decoded(batches, model_path, ids, text), schema)
+
+
+def with_ids_and_text(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``with_text`` of ``with_ids``, by one Python worker a task, which loads the model once."""
+    docs = docs.drop(ids, decoded)
+    more = [StructField(ids, ArrayType(IntegerType())), StructField(decoded, StringType())]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _decoded(_encoded(batches, model_path, text, ids), model_path, ids, decoded)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = piece_model(model_path)
-        starts = np.array([p.startswith(SPACE) for p in model.pieces])
-        cache = WordCache(lambda keys: [model.decode_raw(memoryview(k).cast("i")) for k in keys])
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            for i in range(0, batch.num_rows, 256):
-                part = column.slice(i, 256)
-                rows = list(_rows(part))
-                split = [_id_runs(row, starts) for row in rows]
-                cache.fill(set().union(*split))
-                out = [model.unspaced(map(int, row), "".join(map(cache.__getitem__, keys))) for row, keys in zip(rows, split, strict=True)]
-                yield _plus(batch.slice(i, 256), text, pa.array(out, type=pa.string()))
-
-    return small_batches(docs).mapInArrow(decode, schema)
+    return small_batches(docs).mapInArrow(code, StructType([*docs.schema.fields, *more]))
 
 
 def _rows(column: pa.ListArray) -> Iterator[np.ndarray]:
