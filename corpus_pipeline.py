@@ -15,7 +15,7 @@ from textpulse.llm.decontamination import decontaminated
 from textpulse.llm.exact_dedup import without_copies
 from textpulse.llm.language_id import accepted
 from textpulse.llm.near_dedup import one_per_group
-from textpulse.llm.piece_bpe import with_ids, with_text
+from textpulse.llm.piece_bpe import with_ids_and_text
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -43,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids of every document, their number, and whether they decode to the text."""
     path = public_tokenizers.path(TOKENIZER)
-    coded = with_text(with_ids(docs.select("doc_id", "lang", "source", "n_chars", "text"), path), path)
+    coded = with_ids_and_text(docs.select("doc_id", "lang", "source", "n_chars", "text"), path)
     return coded.select(
         "doc_id", "lang", "source", "n_chars", "ids", F.size("ids").alias("n_tokens"), (F.col("decoded") == whole_text()).alias("exact")
     )
