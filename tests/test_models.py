@@ -5,10 +5,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textpulse.operators import bayes as nb
 from textpulse.operators import folds as fo
 from textpulse.operators import kernel as ke
+from textpulse.operators import lookup
 from textpulse.operators import posterior as po
 from textpulse.operators import selection as se
+from textpulse.operators import tokens as tk
 from textpulse.operators.positions import with_position, with_running_total
 from textpulse.plans import baselines as bl
 from textpulse.plans.classifiers import MetaClassifier, fit_sigmoids
@@ -17,6 +20,7 @@ from textpulse.operators.features.extract import CatalogueExtractor
 from textpulse.operators.mappers import TokenLengthDistribution, TokenLengthSequence
 from textpulse.functions import text as tx
 from textpulse.functions.tails import two_sided_normal, two_sided_t
+from textpulse.session import checkpointed
 from textpulse.sources.store import ParquetStore, SessionStore
 
 
@@ -227,3 +231,55 @@ def test_addresses_do_not_collide(spark, tmp_path):
     for i, key in enumerate(["a/b", "a_b", "a%2Fb", ""]):
         store.save_result(spark.range(i + 1), key)
     assert [store.read_result(k).count() for k in ("a/b", "a_b", "a%2Fb", "")] == [1, 2, 3, 4]
+
+
+def test_losses_do_not_depend_on_how_tokens_meet_their_counts(spark, monkeypatch):
+    texts = ["red cat", "red dog cat", "blue dog", "blue fish", "red red fish", "blue cat", "odd", ""]
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(texts * 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, label string")
+    counts = checkpointed(tk.document_counts(docs, lambda d: tk.tokens(d, tx.words)))
+    folds = docs.select("doc_id", "label", F.pmod(F.floor(F.col("doc_id") / 2), F.lit(4)).cast("int").alias("fold"))
+    found = []
+    for common in (1, 1000):
+        monkeypatch.setattr(lookup, "COMMON", common)
+        losses = nb.fold_alpha_losses(counts, folds, [0.1, 1.0]).collect() + nb.alpha_losses(counts, folds, [0.1, 1.0]).collect()
+        found.append({(r.asDict().get("fold"), r.alpha): r.loss for r in losses})
+    assert len(found[0]) == 10 and found[0] == pytest.approx(found[1])
+    # By the plain definition: each fold scored by the class counts of the others.
+    held = {i: ("ab"[i % 2], t.split(), i // 2 % 4) for i, t in enumerate(texts * 2)}
+    per = []
+    for fold in range(4):
+        train = [(c, ws) for c, ws, f in held.values() if f != fold]
+        vocab = {w for _, ws in train for w in ws}
+        bag = {c: [w for d, ws in train if d == c for w in ws] for c in "ab"}
+        losses = []
+        for c, ws, f in held.values():
+            if f == fold:
+                score = {k: np.log(sum(d == k for d, _ in train) / len(train)) + sum(
+                    np.log((bag[k].count(w) + 1) / (len(bag[k]) + len(vocab))) for w in ws if w in vocab) for k in "ab"}
+                losses.append(np.logaddexp(score["a"], score["b"]) - score[c])
+        per.append(np.mean(losses))
+    assert found[0][None, 1.0] == pytest.approx(np.mean(per))
+    assert all("BroadcastHashJoin" in j for j in joins_by_token(counts, folds))
+
+
+def joins_by_token(counts, folds):
+    """The joins on the token in the plan that sums a document's tokens, without Spark's own broadcasts."""
+    spark = counts.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = nb.alpha_losses(counts, folds, [1.0])._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    found = [line for line in plan.splitlines() if "Join [token" in line]
+    assert found
+    return found
+
+
+def test_spread_rows_have_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(fo, "TASK_ROWS", 5)
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("a").alias("label"))
+    folds = rows.select("doc_id", (F.col("doc_id") % 5).cast("int").alias("fold"))
+    spread = fo.every_fold(rows, folds, 5)
+    assert spread.rdd.getNumPartitions() == 40 and spread.count() == 1000
+    assert spread.filter("split = 'test'").count() == 200
