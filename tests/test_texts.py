@@ -6,6 +6,7 @@ from plain_stemmer import porter
 
 from textpulse.functions.stemmer import porter_stem, stem_sql
 from textpulse.operators import mappers as mp
+from textpulse.operators.lookup import looked_up
 from textpulse.operators import tokens as tk
 from textpulse.operators import vocab as vc
 from textpulse.sources.tables import read_labelled_csv, write_labelled_csv
@@ -195,3 +196,61 @@ def test_gram_tables_shuffle_no_row_per_document_and_gram(spark):
     shown = plan._jdf.queryExecution().executedPlan().toString()
     keyed = [line for line in shown.splitlines() if "Exchange hashpartitioning" in line and "doc_id" in line]
     assert len(keyed) == 1 and "REPARTITION_BY_NUM" in keyed[0]
+
+
+def test_lookup_of_common_and_rare_keys(spark):
+    rows = spark.createDataFrame([(i, t) for i in range(3) for t in "abcx"], "doc_id bigint, token string")
+    values = spark.createDataFrame([("a", 1, 9), ("b", 2, 5), ("c", 3, 1)], "token string, v int, n bigint")
+    for how, unseen in (("inner", []), ("left", [None])):
+        for common in (1, 2, 3):
+            got = looked_up(rows, values, ["token"], "n", how, common=common).collect()
+            assert sorted((r.doc_id, r.token, r.v) for r in got if r.v) == [(i, t, v) for i in range(3) for t, v in zip("abc", (1, 2, 3))]
+            assert [r.v for r in got if not r.v] == unseen * 3
+
+
+def joins(df):
+    """The joins of a plan, line by line."""
+    lines = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+    return [line for line in lines if "Join" in line]
+
+
+def test_tokens_meet_values_without_a_shuffle(spark, docs):
+    frequency = mp.TokenFrequencySequence().fit_transform(docs)
+    stems = tk.stemmed(tk.tokens(docs, tx.word_marks), "porter_case")
+    weights = vc.tfidf(tk.document_counts(docs, lambda d: tk.tokens(d, tx.words)), docs.agg(F.count(F.lit(1)).alias("n_docs")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = [joins(rows) for rows in (frequency, stems, weights)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all(lines and all("BroadcastHashJoin" in line for line in lines) for lines in found)
+
+
+def test_fit_transform_cuts_texts_once(docs):
+    calls = []
+
+    def tokenizer(text):
+        calls.append(1)
+        return tx.treebank(text)
+
+    mapper = mp.TokenRankSequence(tokenizer=tokenizer)
+    once = mapper.fit_transform(docs).toPandas().sort_values(["doc_id", "t"])
+    assert len(calls) == 1
+    twice = mp.TokenRankSequence().fit(docs).transform(docs).toPandas().sort_values(["doc_id", "t"])
+    assert once.values.tolist() == twice.values.tolist()
+
+
+def test_rules_are_left_out_only_where_they_change_nothing(spark):
+    lines = [
+        None, "", "a", " \n ", "He said: \"I CANNOT go,\" d'YE know? Gimme `this' (or that)... wanna, more'N; it's 'tis 'Twas.",
+        "«Oui» “yes” ‘no’ „ja” ``x'' y--z *a* 5:3, 1,000: $5 & 6% <b> [c] {d} won't they'LL I'd dogs' ", "Gonna end. Then gotta lemme..", "İCANNOT ſ",
+    ]
+    rows = spark.createDataFrame([(x,) for x in lines], "text string")
+    plain = F.regexp_replace("text", r"\s+", " ")
+    plain = F.regexp_replace(F.regexp_replace(plain, tx.SENTENCE_END, "$1\n$2"), r"\n", " \n ")
+    plain = F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), r"(?m)^ +", "")
+    for pattern, replacement in tx.TREEBANK_RULES:
+        plain = F.regexp_replace(plain, pattern, replacement)
+    want = F.regexp_extract_all(plain, F.lit(tx.NON_SPACE), F.lit(1))
+    for r in rows.select("text", tx.treebank(F.col("text")).alias("got"), want.alias("want")).collect():
+        assert r.got == r.want, r.text

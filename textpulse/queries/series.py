@@ -50,7 +50,7 @@ def token_length_sequence(spark, folder):
 )
 def token_frequency_sequence(spark, folder):
     docs = documents(spark, folder)
-    return _digest(mp.TokenFrequencySequence(tokenizer=tx.word_marks, stem_mode="identity").fit(docs).transform(docs))
+    return _digest(mp.TokenFrequencySequence(tokenizer=tx.word_marks, stem_mode="identity").fit_transform(docs))
 
 
 @register(
@@ -61,7 +61,7 @@ def token_frequency_sequence(spark, folder):
 )
 def token_rank_sequence(spark, folder):
     docs = documents(spark, folder)
-    return _digest(mp.TokenRankSequence(tokenizer=tx.word_marks, stem_mode="identity").fit(docs).transform(docs))
+    return _digest(mp.TokenRankSequence(tokenizer=tx.word_marks, stem_mode="identity").fit_transform(docs))
 
 
 @register(
@@ -98,7 +98,7 @@ def token_length_distribution(spark, folder):
 )
 def token_rank_distribution(spark, folder):
     docs = documents(spark, folder)
-    return _digest(mp.TokenRankDistribution(stem_mode="identity").fit(docs).transform(docs))
+    return _digest(mp.TokenRankDistribution(stem_mode="identity").fit_transform(docs))
 
 
 @register(
@@ -109,7 +109,7 @@ def token_rank_distribution(spark, folder):
 )
 def stemmed_frequency_sequence(spark, folder):
     docs = documents(spark, folder)
-    return _digest(mp.TokenFrequencySequence().fit(docs).transform(docs))
+    return _digest(mp.TokenFrequencySequence().fit_transform(docs))
 
 
 @register(
@@ -120,7 +120,7 @@ def stemmed_frequency_sequence(spark, folder):
 )
 def stemmed_rank_sequence(spark, folder):
     docs = documents(spark, folder)
-    return _digest(mp.TokenRankSequence().fit(docs).transform(docs))
+    return _digest(mp.TokenRankSequence().fit_transform(docs))
 
 
 @register(
@@ -134,4 +134,4 @@ def stemmed_rank_sequence(spark, folder):
 )
 def stemmed_rank_distribution(spark, folder):
     docs = documents(spark, folder)
-    return _digest(mp.TokenRankDistribution().fit(docs).transform(docs))
+    return _digest(mp.TokenRankDistribution().fit_transform(docs))
