@@ -283,3 +283,33 @@ def test_spread_rows_have_tasks_by_their_number(spark, monkeypatch):
     spread = fo.every_fold(rows, folds, 5)
     assert spread.rdd.getNumPartitions() == 40 and spread.count() == 1000
     assert spread.filter("split = 'test'").count() == 200
+
+
+def test_kernel_blocks_against_brute_force(spark, monkeypatch):
+    texts = {1: "abab", 2: "ba", 3: "xyz", 4: "aaaaab", 5: "zzx", 6: "b"}
+    rows = [*texts.items(), (None, "ab"), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(ke, "MARK_ENTRIES", 8)  # several blocks of landmarks
+    monkeypatch.setattr(ke, "PASS_BLOCKS", 2)
+    monkeypatch.setattr(ke, "KERNEL_CELLS", 3)  # few texts and few products at a time
+    monkeypatch.setattr(ke, "DENSE_SHARE", 2)
+
+    def grams(text):
+        return [text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)]
+
+    def product(a, b):
+        return sum(x == y for x in grams(a) for y in grams(b))
+
+    want = {(i, j): product(a, b) for i, a in [*texts.items(), (None, "ab")] for j, b in texts.items() if product(a, b)}
+    counts = ke.gram_counts(docs)
+    got = ke.kernel_values(counts, counts).collect()
+    assert len(got) == len(want) and {(r.doc_i, r.doc_j): r.k for r in got} == want
+    norm = {i: math.sqrt(product(a, a)) for i, a in texts.items()}
+    got = ke.normalised_kernel(counts, counts).collect()
+    assert {(r.doc_i, r.doc_j): r.k for r in got} == pytest.approx({(i, j): k / norm[i] / norm[j] for (i, j), k in want.items() if i})
+
+
+def test_kernel_shuffles_texts_only(spark, docs):
+    counts = ke.gram_counts(docs)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (counts, ke.normalised_kernel(counts, counts))]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange")
