@@ -5,7 +5,9 @@ import random
 import time
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -340,3 +342,16 @@ def test_pipeline(spark, edge, tmp_path):
     bench.write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     assert json.dumps([name for name, _ in corpus_pipeline.STAGES])
+
+
+def test_coding_with_small_caches(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["one two three four five six seven", "", "  seven six\nfive é中 four", "three two one " * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    piece_bpe._encoder.cache_clear()
+    (out,) = piece_bpe._decoded(piece_bpe._encoded(iter([batch]), path, "text", "ids", 8), path, "ids", "decoded", 8)
+    assert out.column("ids").to_pylist() == [model.encode(t) for t in texts]
+    assert out.column("decoded").to_pylist() == [model.decode(model.encode(t)) for t in texts]
+    assert 2 * piece_bpe.BOTH_WORDS < piece_bpe.CACHE_WORDS  # two caches stand beside each other
+    assert piece_bpe._encoder(path, 8).limit == 8

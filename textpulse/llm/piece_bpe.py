@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from textpulse.llm.common import read, register, small_batches
-from textpulse.llm.words import WordCache, id_lists, runs
+from textpulse.llm.words import CACHE_WORDS, WordCache, id_lists, runs
 
 SPACE = "▁"  # stands for a space in pieces
 _PAIRS = 300_000  # remembered compatibility tests of a task
+#: Distinct words, and distinct runs of ids, that a task remembers that encodes and decodes.
+BOTH_WORDS = CACHE_WORDS // 4
 _PLAIN_WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _PUNCTUATION = r"!-/:-@\[-`{-~"
 #: As above, and cut between a letter and ASCII punctuation after it.
@@ -192,18 +194,20 @@ def piece_model(path: str) -> PieceModel:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> WordCache:
+def _encoder(path: str, limit: int = CACHE_WORDS) -> WordCache:
     model = piece_model(path)
 
     def encode(words: list[str]) -> list[bytes]:
         words.sort()
         return [array("i", ids).tobytes() for ids in model.encode_words(words)]
 
-    return WordCache(encode)
+    return WordCache(encode, limit)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], model_path: str, text: str, ids: str) -> Iterator[pa.RecordBatch]:
-    model, cache = piece_model(model_path), _encoder(model_path)
+def _encoded(
+    batches: Iterator[pa.RecordBatch], model_path: str, text: str, ids: str, limit: int = CACHE_WORDS
+) -> Iterator[pa.RecordBatch]:
+    model, cache = piece_model(model_path), _encoder(model_path, limit)
     try:
         for batch, texts in runs(batches, text):
             split = [model.words(t) for t in texts]
@@ -213,10 +217,12 @@ def _encoded(batches: Iterator[pa.RecordBatch], model_path: str, text: str, ids:
         cache.forget()
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], model_path: str, ids: str, text: str) -> Iterator[pa.RecordBatch]:
+def _decoded(
+    batches: Iterator[pa.RecordBatch], model_path: str, ids: str, text: str, limit: int = CACHE_WORDS
+) -> Iterator[pa.RecordBatch]:
     model = piece_model(model_path)
     starts = np.array([p.startswith(SPACE) for p in model.pieces])
-    cache = WordCache(lambda keys: [model.decode_raw(memoryview(k).cast("i")) for k in keys])
+    cache = WordCache(lambda keys: [model.decode_raw(memoryview(k).cast("i")) for k in keys], limit)
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(ids))
         for i in range(0, batch.num_rows, 256):
@@ -250,12 +256,15 @@ def with_text(docs: DataFrame, model_path: str, ids: str = "ids", text: str = "d
 
 
 def with_ids_and_text(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``with_text`` of ``with_ids``, by one Python worker a task, which loads the model once."""
+    """``with_text`` of ``with_ids``, by one Python worker a task, which loads the model once.
+
+    It remembers words and runs of ids at once, and so a quarter as many of each.
+    """
     docs = docs.drop(ids, decoded)
     more = [StructField(ids, ArrayType(IntegerType())), StructField(decoded, StringType())]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _decoded(_encoded(batches, model_path, text, ids), model_path, ids, decoded)
+        yield from _decoded(_encoded(batches, model_path, text, ids, BOTH_WORDS), model_path, ids, decoded, BOTH_WORDS)
 
     return small_batches(docs).mapInArrow(code, StructType([*docs.schema.fields, *more]))
 
