@@ -190,6 +190,21 @@ def test_iterative_stacking_improves_on_a_wrong_baseline(spark, authors):
     assert model.store.read_evaluation_score("baseline").count() == 5
 
 
+def test_features_are_not_stored_for_every_fold(spark, authors, monkeypatch):
+    seen = []
+    monkeypatch.setattr("textpulse.plans.stacking.checkpointed", lambda df: seen.append(set(df.columns)) or checkpointed(df))
+    model = IterativeStackedClassifier([TokenLengthSequence(tokenizer=tx.word_marks)], CatalogueExtractor(15, ["aggregate"]), None, folds=5)
+    model.store, model.classes, model.given_baseline = SessionStore(spark), ["x", "y"], False
+    model.folds = checkpointed(fo.stratified_folds(authors, 5))
+    sides = checkpointed(fo.every_fold(authors.select("doc_id", "label"), model.folds, 5))
+    tables = model._fold_features(authors, sides, None)
+    model._fold_tests(tables, sides)
+    rows = tables["tokenlenseq"]
+    assert rows.select("fold", "doc_id", "feature").distinct().count() == rows.count() > 0
+    assert {r.fold for r in rows.select("fold").distinct().collect()} == set(range(5))
+    assert not any({"fold", "doc_id", "value"} <= columns for columns in seen)
+
+
 def test_metrics_fit_the_score_table(spark):
     rows = [
         (d, "m", 0, "train" if d < 4 else "test", c, p)
