@@ -328,3 +328,14 @@ def test_kernel_shuffles_texts_only(spark, docs):
     counts = ke.gram_counts(docs)
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (counts, ke.normalised_kernel(counts, counts))]
     assert plans[0].count("Exchange") == plans[1].count("Exchange")
+
+
+def test_selected_features_take_both_series(spark, tmp_path):
+    from textpulse.queries.models import selected_features
+
+    short = [(i, " ".join(["a", "bb"] * (5 + i % 7)), "x") for i in range(40)]
+    long = [(100 + i, " ".join(["abcdefgh", "abcdefghij", "abc"] * (30 + i % 5)), "y") for i in range(40)]
+    docs = spark.createDataFrame(short + long, "doc_id bigint, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.feature.split("__")[0] for r in selected_features(spark, str(tmp_path)).collect()}
+    assert found == {"tokenlenseq", "tokenlendist"}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.functions import text as tx
@@ -161,8 +164,9 @@ def relevant_in_every_class(spark, folder):
 def selected_features(spark, folder):
     """The relevance table of the basic calculators on two series, with every test."""
     docs = documents(spark, folder)
-    series = mp.TokenLengthDistribution(tokenizer=tx.word_marks).transform(docs)
-    raw = checkpointed(ex.extract_features(checkpointed(series), families=ex.BASIC_FAMILIES))
+    mappers = [mp.TokenLengthSequence(tokenizer=tx.word_marks), mp.TokenLengthDistribution(tokenizer=tx.word_marks)]
+    series = checkpointed(reduce(DataFrame.unionByName, [m.transform(docs) for m in mappers]))
+    raw = checkpointed(ex.extract_features(series, families=ex.BASIC_FAMILIES))
     table_ = se.select_relevant_features(ex.impute(raw), labels_of(spark, folder), 0.05)
     return rounded(table_, "p_value")
 
