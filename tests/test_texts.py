@@ -254,3 +254,35 @@ def test_rules_are_left_out_only_where_they_change_nothing(spark):
     want = F.regexp_extract_all(plain, F.lit(tx.NON_SPACE), F.lit(1))
     for r in rows.select("text", tx.treebank(F.col("text")).alias("got"), want.alias("want")).collect():
         assert r.got == r.want, r.text
+
+
+def test_gram_table_explodes_no_grams_and_equals_brute_force(spark, monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from textpulse.operators import grams as gr
+
+    texts = {1: ["añb😀 añb", "", "ab"], 2: ["\0a\0"], 3: ["中文中文字"], 4: [], 5: ["bb bb bb"], 6: ["ab"]}
+    freq, docs = Counter(), {}
+    for doc, rows in texts.items():
+        for text in rows:
+            for n in range(1, 6):
+                for i in range(len(text) - n + 1):
+                    freq[n, text[i : i + n]] += 1
+                    docs.setdefault((n, text[i : i + n]), set()).add(doc)
+    want = {k: (c, len(docs[k])) for k, c in freq.items()}
+    rows = [(doc, text) for doc, found in texts.items() for text in found or [None]]
+    table = tk.raw_char_ngram_table(spark.createDataFrame(rows, "doc_id bigint, text string"), (1, 5))
+    assert "Generate" not in table._jdf.queryExecution().executedPlan().toString()
+    assert {(r.n, r.gram): (r.freq, r.df) for r in table.collect()} == want
+    batch = pa.table({"doc_id": list(texts), "texts": pa.array(list(texts.values()), pa.list_(pa.string()))}).to_batches()[0]
+    for most, keys in ((2_000_000, 200), (10, 2**62), (10, 200)):  # few documents at a time, prefixes numbered early
+        monkeypatch.setattr(gr, "_KEYS", keys)
+        got = {}
+        for chunk in gr.chunks(batch.slice(0, 6), most):
+            for found in gr.chunk_table(chunk, (1, 5)):
+                for r in found.to_pylist():
+                    f, d = got.get((r["n"], r["gram"]), (0, 0))
+                    got[r["n"], r["gram"]] = f + r["freq"], d + r["df"]
+        assert got == want
