@@ -339,3 +339,13 @@ def test_selected_features_take_both_series(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     found = {r.feature.split("__")[0] for r in selected_features(spark, str(tmp_path)).collect()}
     assert found == {"tokenlenseq", "tokenlendist"}
+
+
+def test_kernel_of_texts_equals_that_of_counts(spark):
+    rows = [(1, "abab"), (1, "xb"), (2, "ba"), (3, "xyz añ😀"), (None, "ab"), (None, "zz"), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    counts, texts = ke.gram_counts(docs), ke.gram_texts(docs)
+    for kernel in (ke.kernel_values, ke.normalised_kernel):
+        rows = kernel(texts, counts)
+        assert "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted(rows.collect(), key=str) == sorted(kernel(counts, counts).collect(), key=str)
