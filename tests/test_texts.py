@@ -286,3 +286,18 @@ def test_gram_table_explodes_no_grams_and_equals_brute_force(spark, monkeypatch)
                     f, d = got.get((r["n"], r["gram"]), (0, 0))
                     got[r["n"], r["gram"]] = f + r["freq"], d + r["df"]
         assert got == want
+
+
+def test_tfidf_of_texts_equals_that_of_counts(spark):
+    rows = [*ROWS, (6, "añb😀 añb"), (7, "\0a\0"), (9, "bb  bb\tbb"), (10, "Aa bb")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    n_docs = spark.sql("SELECT 12L AS n_docs")
+    counts = tk.document_counts(docs, lambda d: tk.char_ngrams(d).withColumnRenamed("gram", "token"))
+    for sublinear in (True, False):
+        found = [
+            {(r.doc_id, r.token): r.weight for r in vc.tfidf(x, n_docs, min_df=0.2, sublinear=sublinear).collect()}
+            for x in (counts, tk.folded_texts(docs))
+        ]
+        assert found[1] == pytest.approx(found[0]) and len(found[0]) > 20
+    plan = vc.tfidf(tk.folded_texts(docs), n_docs, min_df=0.2)._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan.lower() and "Window" not in plan
