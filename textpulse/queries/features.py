@@ -25,7 +25,7 @@ from textpulse.queries.registry import (
     sql_r6,
     table,
 )
-from textpulse.session import checkpointed
+from textpulse.session import checkpointed, stored
 
 
 def lengths(spark, folder):
@@ -480,7 +480,7 @@ def feature_imputation(spark, folder):
 @register("feature_catalogue")
 def feature_catalogue(spark, folder):
     """Every calculator over the length distribution of every document."""
-    raw = checkpointed(ex.extract_features(checkpointed(shares(spark, folder))))
+    raw = stored(ex.extract_features(checkpointed(shares(spark, folder))), "features")
     return rounded(ex.impute(raw).select("doc_id", "feature", "value"), "value")
 
 
